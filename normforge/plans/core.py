@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normforge.operators import drift, nested, rejects
+from normforge.operators import drift, multivalue, nested, rejects
 from normforge.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def p4_conformed(spark: SparkSession, folder: str) -> DataFrame:
     return drift.conform(table(spark, folder, "process_csaf_attrs"), predefined_columns(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return multivalue.unpacked(table(spark, folder, "string_normalization"), "row_id", ["vendor", "vendor_modified"])
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested.flatten_records(spread(table(spark, folder, "process_csaf_files")), "file_id", "product_tree", with_text=False)
 
@@ -46,5 +50,5 @@ def p6_products(spark: SparkSession, folder: str) -> DataFrame:
     return products.select("file_id", "node_path", "parent_path", F.get_json_object("node_text", "$.name").alias("product_name"), F.get_json_object("node_text", "$.product_id").alias("product_id"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_loaded, p4_found, p4_conformed, p6_found, p6_products)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_loaded, p4_found, p4_conformed, p5_found, p6_found, p6_products)}
 SQL: dict[str, str] = {}
