@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normforge.llm import canonical
+from normforge.llm import canonical, stuffing
 from normforge.operators import multivalue
 from normforge.sources.tables import spread, table
 
@@ -23,5 +23,9 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return vendors.unionByName(families)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p7_found,)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.stuffed_pages(spread(table(spark, folder, "documents").select("doc_id", "text", "site")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p7_found, p10_found)}
 SQL: dict[str, str] = {}
