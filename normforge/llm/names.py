@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -23,11 +24,12 @@ ENDINGS = "com de org net info gov io uk eu nl fr test example invalid".split()
 
 HOST = re.compile(rf"^(?:https?://)?(?:www\.)?([^\s/]+?)\.(?:{'|'.join(ENDINGS)})/?$", re.I)
 REMARK = re.compile(r"\(([^()]*)\)")
-CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
+RUN_TOGETHER = re.compile(r"(?:[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+){2,}")
+CAPITAL = re.compile(r"(?=[A-ZÀ-ÖØ-Þ])")
 SPLIT = re.compile(r"[\s,;/\\|_\-\"\[\]–]+")
 GARBLED = re.compile("[ÂÃâã][\x80-\xbf ¡-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 INVISIBLE = {0x200B: "", 0x200C: "", 0x200D: "", 0xFEFF: "", 0xAD: "", 0xA0: " ", 0xFFFD: ""}
-DOTTED_LEGAL = re.compile(r"\b(?:[a-z]\.\s?){2,3}(?=\W|$)", re.I)
+DOTTED_LEGAL = re.compile(r"\b(?:[a-z]\.){1,3}[a-z]\.?(?=[\s,;)]|$)", re.I)
 
 
 def repaired(text: str) -> str:
@@ -53,6 +55,17 @@ def folded(word: str) -> str:
     return plain.replace("ß", "ss")
 
 
+@functools.lru_cache(65_536)
+def is_generic(word: str) -> bool:
+    """A generic word, also if misspelt."""
+    if word in GENERIC:
+        return True
+    if len(word) < 4:
+        return False
+    limit = 1 if len(word) < 6 else 2
+    return any(len(g) >= 4 and abs(len(g) - len(word)) <= limit and (len(g) >= 6 or limit == 1) and osa(word, g, limit) <= limit for g in GENERIC)
+
+
 class Name:
     """The words of one typed name."""
 
@@ -84,11 +97,11 @@ class Name:
             for part in parts:
                 dotted = part.endswith(".")
                 core = part.strip(".:'")
-                for word in [core] if folded(core) in GENERIC else CAMEL.split(core):
+                for word in [w for w in CAPITAL.split(core) if w] if RUN_TOGETHER.fullmatch(core) and folded(core) not in GENERIC else [core]:
                     low = folded(word)
                     if not low or not any(c.isalnum() or c in "&+" for c in low):
                         continue
-                    if low in GENERIC:
+                    if is_generic(low):
                         self.generic.append(low)
                     else:
                         self.words.append(low)

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normforge.llm import canonical, stuffing
+from normforge.llm import canonical, spellings, stuffing
 from normforge.operators import multivalue
 from normforge.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spread(table(spark, folder, "vendor_testoutput_ref"))
+    return spellings.row_pairs(spellings.clusters(rows, "vendor_id", ("vendor", "vendor_modified")), "vendor_id_a", "vendor_id_b")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "string_normalization").select("row_id", "vendor_modified", "product_family_modified")
     texts = rows.select(F.col("vendor_modified").alias("cell")).where("cell is not null and cell != ''").groupBy("cell").agg(F.count(F.lit(1)).alias("own"))
@@ -27,5 +32,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.stuffed_pages(spread(table(spark, folder, "documents").select("doc_id", "text", "site")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p7_found, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p7_found, p10_found)}
 SQL: dict[str, str] = {}
