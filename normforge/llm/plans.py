@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normforge.llm import canonical, spellings, stuffing
+from normforge.llm import canonical, mixing, packing, spellings, stuffing, tokens
 from normforge.operators import multivalue
+from normforge.session import cut
 from normforge.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,9 +29,34 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return vendors.unionByName(families)
 
 
+def _lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, n_tokens), written once because packing and mixing read it several times."""
+    return cut(tokens.with_lengths(spread(table(spark, folder, "documents").select("doc_id", "source", "text")), "doc_id", "text", ("source",)))
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_lengths(spark, folder).select("doc_id", "n_tokens"), table(spark, folder, "container_sizes"), "doc_id")
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, folder), table(spark, folder, "container_sizes"))
+
+
+def p8_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.bucketed(_lengths(spark, folder).select("doc_id", "n_tokens"), table(spark, folder, "container_sizes"), "doc_id")
+
+
+def p9_uses(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.uses(_lengths(spark, folder), table(spark, folder, "mix_targets"), "doc_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(p9_uses(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.stuffed_pages(spread(table(spark, folder, "documents").select("doc_id", "text", "site")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p7_found, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p7_found, p8_packed, p8_fill, p8_buckets, p9_uses, p9_shares, p10_found)}
 SQL: dict[str, str] = {}
