@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normforge.llm import canonical, mixing, packing, spellings, stuffing, tokens
+from normforge.llm import canonical, linkage, mixing, packing, spellings, stuffing, tokens
 from normforge.operators import multivalue
 from normforge.session import cut
 from normforge.sources.tables import spread, table
@@ -20,6 +20,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return spellings.row_pairs(spellings.clusters(rows, "vendor_id", ("vendor", "vendor_modified")), "vendor_id_a", "vendor_id_b")
 
 
+def p3_linked(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "string_normalization").select("row_id", "product_name", "product_family", "product_family_modified", "vendor_modified", "vendor")
+    return linkage.linked(
+        spread(names), "row_id", {"name": "product_name", "family": "product_family", "family2": "product_family_modified", "maker": "vendor_modified", "maker2": "vendor"},
+        spread(table(spark, folder, "string_miner")), "device_id", {"type": "device_type", "number": "article_number", "family": "device_family", "maker": "manufacturer"},
+    )
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_linked(spark, folder).select("row_id", "device_id")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "string_normalization").select("row_id", "vendor_modified", "product_family_modified")
     texts = rows.select(F.col("vendor_modified").alias("cell")).where("cell is not null and cell != ''").groupBy("cell").agg(F.count(F.lit(1)).alias("own"))
@@ -58,5 +70,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.stuffed_pages(spread(table(spark, folder, "documents").select("doc_id", "text", "site")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p7_found, p8_packed, p8_fill, p8_buckets, p9_uses, p9_shares, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_linked, p7_found, p8_packed, p8_fill, p8_buckets, p9_uses, p9_shares, p10_found)}
 SQL: dict[str, str] = {}
