@@ -240,8 +240,9 @@ def renames_to_origin(changes: DataFrame) -> DataFrame:
     events = changes.where("change_kind = 'renamed'").select("feed", F.col("file_seq").alias("seq"), F.col("field_name").alias("old"), F.col("new_name").alias("new")).distinct()
     events = events.withColumn("to_seq", F.lead("seq").over(Window.partitionBy("feed", "new").orderBy("seq")))
     events = cut(events)
-    up = events.select("feed", F.col("new").alias("old"), F.col("seq").alias("up_seq"), F.col("to_seq").alias("up_to"))
-    linked = events.join(up, (events.feed == up.feed) & (events.old == up.old) & (up.up_seq < events.seq) & (up.up_to.isNull() | (up.up_to >= events.seq)), "left").drop(up.feed).drop(up.old)
+    up = events.select(F.col("feed").alias("up_feed"), F.col("new").alias("up_new"), F.col("seq").alias("up_seq"), F.col("to_seq").alias("up_to"))
+    follows = (F.col("feed") == F.col("up_feed")) & (F.col("old") == F.col("up_new")) & (F.col("up_seq") < F.col("seq")) & (F.col("up_to").isNull() | (F.col("up_to") >= F.col("seq")))
+    linked = events.join(up, follows, "left")
     state = cut(linked.groupBy("feed", "new", "seq", "to_seq").agg(F.max("up_seq").alias("up_seq"), F.first("old").alias("origin")))
     for _ in range(DOUBLINGS):
         if state.where("up_seq is not null").isEmpty():
@@ -265,7 +266,9 @@ def conform(df: DataFrame, columns: list[tuple[str, str]], changes: DataFrame |
     files = base.select("feed", "file_seq").distinct()
     span = (F.col("s.file_seq") >= F.col("o.from_seq")) & (F.col("o.to_seq").isNull() | (F.col("s.file_seq") < F.col("o.to_seq")))
     projection = files.alias("s").join(origin.where(F.col("origin").isin(wanted)).alias("o"), (F.col("s.feed") == F.col("o.feed")) & span)
-    projection = projection.groupBy("s.feed", "s.file_seq").agg(F.map_from_entries(F.collect_list(F.struct("o.origin", "o.field"))).alias("names"))
+    # of a chain of names the last one begun holds
+    projection = projection.groupBy("s.feed", "s.file_seq", "o.origin").agg(F.max_by("o.field", "o.from_seq").alias("field"))
+    projection = projection.groupBy("feed", "file_seq").agg(F.map_from_entries(F.collect_list(F.struct("origin", "field"))).alias("names"))
     held = base.select("record_id", "file_id", "feed", "file_seq", "product_id", F.from_json("attrs", "map<string,string>").alias("attrs")).join(projection, ["feed", "file_seq"], "left")
     out = []
     for name, kind in columns:

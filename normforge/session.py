@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +36,37 @@ def configured(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "normforge-checkpoints")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: columns are pruned and packed, unlike in a checkpoint.
+
+    The driver's exit removes what it wrote.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/normforge-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_removed, spark, path)
+    return spark.read.parquet(path)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    except Exception:  # the session is gone; the folder's owner cleans up
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the shared folder.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where that is unset (tests) a
-    local folder is made.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "normforge-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
