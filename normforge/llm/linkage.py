@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 
 from normforge.llm.canonical import words_of
 from normforge.llm.names import Name, repaired, word_similarity
+from normforge.session import stored
 
 # How a name goes on when it refers to another device.
 REFERS = re.compile(
-    r"(?:\(|\[|,|;)?\s*\b(?:ersetzt|ersatz f[uü]r|replaces|replacement for|replacing|remplace|compatible with|kompatibel (?:mit|zu)|compatible avec|instead of|anstelle|statt|not|nicht|sauf|except|pas|successor (?:of|to)|nachfolger|supersedes|see also|siehe)\b.*", re.I | re.S
+    r"\b(?:ersetzt|ersatz f[uü]r|replaces|replacement for|replacing|remplace|compatible with|kompatibel (?:mit|zu)|compatible avec|instead of|anstelle|statt|not|nicht|sauf|except|pas|successor (?:of|to)|nachfolger|supersedes|see also|siehe)\b", re.I
 )
 #: Shapes of type codes and of article numbers with their first parts: D a digit, A a letter, / where a separator may stand.
 TYPE_SHAPE = "AAA/DDDD/A"
@@ -84,7 +85,9 @@ def whole_article(article: str) -> bool:
 @functools.lru_cache(200_000)
 def mention(name: str | None) -> tuple[str, str]:
     """(type code, article number) that a product name denotes, "" where it has none."""
-    text = REFERS.sub(" ", repaired(name or ""))
+    text = repaired(name or "")
+    refers = REFERS.search(text)
+    text = text[: refers.start()] if refers else text
     kind = article = ""
     for m in TYPE.finditer(text):
         if sum(c.isdigit() for c in m.group()) >= 3:
@@ -163,15 +166,24 @@ def evidence(p: tuple, q: tuple) -> tuple[float, float]:
             yes += FOR_MISREAD
         else:
             no += NOT_CODE
-    makers = [s for s in (same_maker(maker, d_maker), same_maker(maker2, d_maker)) if s >= 0]
-    families = [s for s in (same_family(family, d_family), same_family(family2, d_family), same_family(name, d_family)) if s >= 0]
-    if makers:
-        yes, no = yes + FOR_MAKER * max(makers), no + NOT_MAKER * (1 - max(makers))
-    if families:
-        yes, no = yes + FOR_FAMILY * max(families), no + NOT_FAMILY * (1 - max(families))
+    by_maker = most((maker, maker2), d_maker, same_maker)
+    by_family = most((family, family2, name), d_family, same_family)
+    if by_maker >= 0:
+        yes, no = yes + FOR_MAKER * by_maker, no + NOT_MAKER * (1 - by_maker)
+    if by_family >= 0:
+        yes, no = yes + FOR_FAMILY * by_family, no + NOT_FAMILY * (1 - by_family)
     return yes, no
 
 
+def most(texts: tuple[str | None, ...], other: str | None, same) -> float:
+    """The greatest likeness, -1 if none can be told."""
+    top = -1.0
+    for text in texts:
+        if top < 1.0:
+            top = max(top, same(text, other))
+    return top
+
+
 def solve(block: np.ndarray, device: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
     """Truth of each candidate. block: its name; device: what tells its device from others of the block; both sorted by (block, device).
 
@@ -209,40 +221,40 @@ def solve(block: np.ndarray, device: np.ndarray, yes: np.ndarray, no: np.ndarray
     return z
 
 
-def read_names(df: DataFrame, key: str, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(row key, m) of each row that names a device, and (m, kind, article, ...) of each distinct naming."""
-    texts = ["name", "family", "family2", "maker", "maker2"]
-    source = df.select(F.col(key).alias("row_key"), *[F.col(columns[t]).cast("string").alias(t) for t in texts]).where("name is not null and name != ''").withColumn("m", F.xxhash64(*texts))
+NAME_TEXTS, DEVICE_TEXTS = ["name", "family", "family2", "maker", "maker2"], ["family", "maker"]
+
+
+def read_names(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """(row_key, m, kind, article, texts) of each row that names a device, stored; m numbers equal namings."""
+    source = df.select(F.col(key).alias("row_key"), *[F.col(columns[t]).cast("string").alias(t) for t in NAME_TEXTS]).where("name is not null and name != ''").withColumn("m", F.xxhash64(*NAME_TEXTS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [mention(n) for n in batch.column(1).to_pylist()]
-            table = pa.RecordBatch.from_arrays([*batch.columns, pa.array([k for k, _ in found]), pa.array([a for _, a in found])], ["row_key", *texts, "m", "kind", "article"])
+            table = pa.RecordBatch.from_arrays([*batch.columns, pa.array([k for k, _ in found], pa.string()), pa.array([a for _, a in found], pa.string())], ["row_key", *NAME_TEXTS, "m", "kind", "article"])
             yield table.filter(pa.array([bool(k or a) for k, a in found], pa.bool_()))
 
     key_type = dict(source.dtypes)["row_key"]
-    rows = source.mapInArrow(work, f"row_key {key_type}, " + ", ".join(f"{t} string" for t in texts) + ", m long, kind string, article string")
-    return rows.select("row_key", "m"), rows.select("m", "kind", "article", *texts).dropDuplicates(["m"])
+    return stored(source.mapInArrow(work, f"row_key {key_type}, " + ", ".join(f"{t} string" for t in NAME_TEXTS) + ", m long, kind string, article string"))
 
 
-def read_devices(df: DataFrame, key: str, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(device key, d) of each device with a code, and (d, kind, article, family, maker) of each distinct listing."""
-    texts = ["type", "number", "family", "maker"]
+def read_devices(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """(device_key, d, kind, article, texts) of each device with a code, stored; d numbers equal listings."""
+    texts = ["type", "number", *DEVICE_TEXTS]
     source = df.select(F.col(key).alias("device_key"), *[F.col(columns[t]).cast("string").alias(t) for t in texts]).withColumn("d", F.xxhash64(*texts))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [listing(k, a) for k, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            table = pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), *batch.columns[3:5], pa.array([k for k, _ in found]), pa.array([a for _, a in found])], ["device_key", "d", "family", "maker", "kind", "article"])
+            table = pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array([k for k, _ in found], pa.string()), pa.array([a for _, a in found], pa.string())], ["device_key", *DEVICE_TEXTS, "d", "kind", "article"])
             yield table.filter(pa.array([bool(k or a) for k, a in found], pa.bool_()))
 
     key_type = dict(source.dtypes)["device_key"]
-    rows = source.mapInArrow(work, f"device_key {key_type}, d long, family string, maker string, kind string, article string")
-    return rows.select("device_key", "d"), rows.select("d", "kind", "article", "family", "maker").dropDuplicates(["d"])
+    return stored(source.mapInArrow(work, f"device_key {key_type}, " + ", ".join(f"{t} string" for t in DEVICE_TEXTS) + ", d long, kind string, article string"))
 
 
 def typed(names: DataFrame, devices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fills in the type code of names and listings that only have an article number which occurs with just one type code anywhere."""
+    """Fills in the type code of namings (m) and listings (d) that only have an article number which occurs with just one type code anywhere."""
     seen = names.select("article", "kind").union(devices.select("article", "kind")).where("kind != '' and length(article) >= 9")
     one = seen.groupBy("article").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).where("low = high").select("article", F.col("low").alias("known"))
 
@@ -250,21 +262,25 @@ def typed(names: DataFrame, devices: DataFrame) -> tuple[DataFrame, DataFrame]:
         bare = df.where("kind = ''").join(one, "article", "left").withColumn("kind", F.coalesce("known", "kind")).drop("known")
         return df.where("kind != ''").unionByName(bare)
 
-    return filled(names), filled(devices)
+    return stored(filled(names)), stored(filled(devices))
 
 
 def matches(names: DataFrame, devices: DataFrame) -> DataFrame:
-    """(m, d, confidence) of every match between distinct namings and listings."""
+    """(m, d, confidence) of every match between distinct namings (m, kind, article, texts) and listings (d, kind, article, texts)."""
 
     def by_code(df: DataFrame, column: str, tag: str, least: int = 1) -> DataFrame:
         return df.where(F.length(column) >= least).withColumn("h", F.xxhash64(F.lit(tag), F.col(column)))
 
-    name_keys = by_code(names, "kind", "t").unionByName(by_code(names, "article", "a", 9)).select("m", "h")
-    device_keys = by_code(devices, "kind", "t").unionByName(by_code(devices, "article", "a", 9)).select("d", "h")
-    met = name_keys.join(device_keys, "h").select("m", "d").distinct()
-    fields = ["kind", "article", "name", "family", "family2", "maker", "maker2"]
-    listed = devices.select("d", F.struct(F.col("kind").alias("d_kind"), F.col("article").alias("d_article"), F.col("family").alias("d_family"), F.col("maker").alias("d_maker"), "d").alias("device"))
-    blocks = met.join(listed, "d").groupBy("m").agg(F.collect_list("device").alias("devices")).join(names, "m")
+    m, d = typed(names.select("m", "kind", "article").distinct(), devices.select("d", "kind", "article").distinct())
+    name_keys = by_code(m, "kind", "t").unionByName(by_code(m, "article", "a", 9)).select("m", "h")
+    device_keys = by_code(d, "kind", "t").unionByName(by_code(d, "article", "a", 9)).select("d", "h")
+    met = stored(name_keys.join(device_keys, "h").select("m", "d").distinct())
+    # only what met needs its texts, and each distinct text once
+    texts = names.join(met.select("m").distinct(), "m", "left_semi").select("m", *NAME_TEXTS).dropDuplicates(["m"])
+    listed = devices.join(met.select("d").distinct(), "d", "left_semi").select("d", *DEVICE_TEXTS).dropDuplicates(["d"]).join(d, "d")
+    listed = listed.select("d", F.struct(F.col("kind").alias("d_kind"), F.col("article").alias("d_article"), F.col("family").alias("d_family"), F.col("maker").alias("d_maker"), "d").alias("device"))
+    fields = ["kind", "article", *NAME_TEXTS]
+    blocks = met.join(listed, "d").groupBy("m").agg(F.collect_list("device").alias("devices")).join(m, "m").join(texts, "m")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +306,6 @@ def linked(names: DataFrame, name_key: str, name_columns: dict[str, str], device
 
     name_columns: name, family, family2, maker, maker2; device_columns: type, number, family, maker.
     """
-    rows, mentioned = read_names(names, name_key, name_columns)
-    listed_rows, listed = read_devices(devices, device_key, device_columns)
-    found = matches(*typed(mentioned, listed))
-    return found.join(rows, "m").join(listed_rows, "d").select(F.col("row_key").alias(name_key), F.col("device_key").alias(device_key), "confidence")
+    rows, listed = read_names(names, name_key, name_columns), read_devices(devices, device_key, device_columns)
+    found = matches(rows, listed)
+    return found.join(rows.select("row_key", "m"), "m").join(listed.select("device_key", "d"), "d").select(F.col("row_key").alias(name_key), F.col("device_key").alias(device_key), "confidence")

@@ -17,6 +17,7 @@ REGION = "deutschland europe france germany italia international int'l intl glob
 GROUP = "group gruppe groupe holding holdings".split()
 JOINING = "and und et & + the of".split()
 GENERIC = frozenset(LEGAL + BUSINESS + REGION + GROUP + JOINING)
+LONG_GENERIC = [g for g in sorted(GENERIC) if len(g) >= 4]
 # Texts that name nobody.
 NOBODY = frozenset(["", "-", "--", "?", ".", "n/a", "na", "nan", "nil", "none", "null", "unknown", "unbekannt", "inconnu", "multiple", "various", "various manufacturers", "several", "diverse", "tbd", "oem", "misc", "other", "not available", "undefined", "keine", "xxx"])
 # Endings of host names.
@@ -50,7 +51,9 @@ def repaired(text: str) -> str:
 
 
 def folded(word: str) -> str:
-    """Lower case without accents, with two-letter umlauts written as one letter."""
+    """Lower case without accents."""
+    if word.isascii():
+        return word.lower()
     plain = "".join(c for c in unicodedata.normalize("NFKD", word.casefold()) if not unicodedata.combining(c))
     return plain.replace("ß", "ss")
 
@@ -63,7 +66,7 @@ def is_generic(word: str) -> bool:
     if len(word) < 4:
         return False
     limit = 1 if len(word) < 6 else 2
-    return any(len(g) >= 4 and abs(len(g) - len(word)) <= limit and (len(g) >= 6 or limit == 1) and osa(word, g, limit) <= limit for g in GENERIC)
+    return any(osa(word, g, limit) <= limit for g in LONG_GENERIC if abs(len(g) - len(word)) <= limit and (len(g) >= 6 or limit == 1))
 
 
 class Name:
@@ -113,7 +116,8 @@ def osa(a: str, b: str, limit: int) -> int:
     if a == b:
         return 0
     n, m = len(a), len(b)
-    if abs(n - m) > limit:
+    # an edit changes the sets of letters by two at most
+    if abs(n - m) > limit or len(set(a) ^ set(b)) > 2 * limit:
         return limit + 1
     before, row = None, list(range(m + 1))
     for i in range(1, n + 1):
