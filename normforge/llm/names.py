@@ -86,8 +86,8 @@ class Name:
         if remark:
             self.remark = folded(remark.group(1))
             text = REMARK.sub(" ", text)
-        text = text.strip(" .\"'")
-        host = HOST.match(text)
+        text = text.strip(" \"'").lstrip(".")
+        host = HOST.match(text.rstrip("."))
         if host:
             self.host = True
             text = host.group(1).replace(".", " ")
@@ -123,7 +123,7 @@ def osa(a: str, b: str, limit: int) -> int:
     for i in range(1, n + 1):
         last2, before, row = before, row, [i] + [0] * m
         x = a[i - 1]
-        low = limit + 1
+        low = row[0]
         for j in range(1, m + 1):
             y = b[j - 1]
             cost = before[j - 1] + (x != y)
