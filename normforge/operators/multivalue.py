@@ -40,8 +40,8 @@ CONNECTORS = ["and", "et", "sowie", "und"]
 #: Bits that a delimiter costs when it stands inside a value; the others never do.
 INSIDE_BITS = {",": 9.0, "/": 4.0, "+": 9.0, "&": 3.0, "word": 3.0}
 ALWAYS = {";": ";", "|": "|", "\t": "tab", "\n": "line", "\r": "line"}
-#: Bits of each further value, and of the opening of a value by a word never seen to open a field.
-VALUE_BITS, UNSEEN = 2.0, 0.25
+#: Bits of each further value, and of the opening of a value by a word never seen to open a field; and bits that a value of one letter costs on top.
+VALUE_BITS, UNSEEN, LONE_LETTER = 2.0, 0.25, 12.0
 
 _WORDS = "|".join(CONNECTORS)
 _LEGAL = "|".join(re.escape(f) for f in sorted(LEGAL_FORMS, key=len, reverse=True))
@@ -216,7 +216,7 @@ def choose(field: Field, own: int, counts: dict[str, int], total: int) -> list[s
             opens, all_of = counts.get("i" + words[0], 0), counts.get("t" + words[0], 0)
             rare = -math.log2((opens + UNSEEN) / (all_of + 1)) if all_of > own else 2.0
             by_words = scale * len(words) * 0.6 + max(0.0, rare)
-            bits += VALUE_BITS + min(by_words, scale - math.log2(seen) if seen > 0 else math.inf)
+            bits += VALUE_BITS + (LONE_LETTER if len(key) == 1 else 0.0) + min(by_words, scale - math.log2(seen) if seen > 0 else math.inf)
         if bits < best_bits - 1e-9:
             best, best_bits = values, bits
     return best

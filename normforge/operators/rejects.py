@@ -206,9 +206,9 @@ def rejects(df: DataFrame, key: str = "line_id", line: str = "raw_line") -> Data
 
 
 def loaded(df: DataFrame, key: str = "line_id", line: str = "raw_line") -> DataFrame:
-    """The good lines with typed cells; a date without time counts as its midnight in UTC."""
+    """The good lines with typed cells; a date without time counts as its midnight in UTC, an empty score is null."""
     rows = load_lines(df, key, line).where(F.col("fail_reason").isNull())
     return rows.select(
-        key, "file_name", "tracking_id", F.col("revision").cast("decimal(38,0)").alias("revision"), F.to_timestamp("released").alias("released"),
-        F.col("score").cast("double").alias("score"), "document", "vulnerabilities",
+        key, "file_name", "tracking_id", F.col("revision").try_cast("decimal(38,0)").alias("revision"), F.try_to_timestamp("released").alias("released"),
+        F.col("score").try_cast("double").alias("score"), "document", "vulnerabilities",
     )
