@@ -48,7 +48,7 @@ _LEGAL = "|".join(re.escape(f) for f in sorted(LEGAL_FORMS, key=len, reverse=Tru
 LEGAL_NEXT = re.compile(rf"\s*(?:{_LEGAL})\.?(?=\s*(?:$|[;|\t\n\r,/+&\])\"']|\((?!\d)|\(?\d{{1,3}}[.)]\s|(?:{_WORDS})\s))", re.I)
 LEGAL_TAIL = re.compile(rf"(?:[\s,]+(?:{_LEGAL}))+\.?\s*$", re.I)
 LEGAL_HEAD = re.compile(rf"^\s*(?:{_LEGAL})\.?\s+", re.I)
-SPECIAL = re.compile(rf"[;|\t\n\r,/\"'(]|(?<=\s)[+&](?=\s)|(?<=\s)(?:{_WORDS})(?=\s)", re.I)
+SPECIAL = re.compile(rf"[;|\t\n\r,/\"'(]|(?:(?<=\s)|^)[+&](?=\s|$)|(?<=\s)(?:{_WORDS})(?=\s)", re.I)
 NUMBER = re.compile(r"(?:^|(?<=[\s;,|/]))(?:\((\d{1,3})\)|(\d{1,3})[.)])\s+")
 REMARK = re.compile(r"\([^()]*\)")
 WORD_GAPS = re.compile(r"[\s,/+&]+")
