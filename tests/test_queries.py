@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -25,7 +26,7 @@ def duck():
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return v if isinstance(v, str) else round(float(v), 9)
 
