@@ -6,8 +6,9 @@ entry that shares a repaired word by soft TF-IDF, where generic words (legal for
 business, regions) weigh little and words found nowhere in the list weigh most, so that a name that
 merely shares a word with an entry stays apart.
 
-The reference list is broadcast as an index only while it has at most ``INDEX_ROWS`` entries;
-beyond that its words are joined by the keys of their deletion neighbourhoods instead.
+The index of a reference list is broadcast for at most about ``INDEX_ROWS`` entries; a longer list
+is cut into such blocks by hash, every value is scored against every block, and the best entry of
+all blocks is taken. No entry is left out; only the weights of words are then those of a block.
 
 Defined results: values equal to a listed name, null and empty values, and values said to hold
 several names give no rows; every other value gives one row, with id 0 if it means no entry. On
@@ -121,10 +122,10 @@ class Index:
                 out[w] = 0.86 if len(word) >= 3 else 0.8 if len(word) == 2 else 0.78
         return list(out.items())
 
-    def best(self, words: list[str], short: list[bool], repairs: list[list[tuple[str, float]]], generic: set[str]) -> int:
-        """Id of the entry that the repaired words mean, 0 if none."""
+    def best(self, words: list[str], short: list[bool], repairs: list[list[tuple[str, float]]], generic: set[str]) -> tuple[int, float]:
+        """Id of the entry that the repaired words mean, 0 if none, and its score."""
         if not words:
-            return 0
+            return 0, 0.0
         found: dict[int, dict[int, tuple[float, str]]] = defaultdict(dict)
         whole: dict[int, float] = {}
         for at, options in enumerate(repairs):
@@ -159,7 +160,7 @@ class Index:
                 scores.append((dot / (mine * theirs), GENERIC_WEIGHT * len(generic & self.generic[e]), -self.ids[e]))
         scores += [(s, GENERIC_WEIGHT * len(generic & self.generic[e]), -self.ids[e]) for e, s in whole.items()]
         top = max(scores, key=lambda x: (round(x[0], 6), x[1], x[2]), default=None)
-        return -top[2] if top and top[0] >= LEAST else 0
+        return (-top[2], round(top[0], 6) + 1e-7 * top[1]) if top and top[0] >= LEAST else (0, 0.0)
 
 
 def _entries(reference: DataFrame, id_col: str, name_col: str, short_col: str | None) -> DataFrame:
@@ -168,12 +169,8 @@ def _entries(reference: DataFrame, id_col: str, name_col: str, short_col: str |
 
 
 def repaired_words(words: DataFrame, entries: DataFrame, kind: str) -> tuple[DataFrame, object]:
-    """(word, options) of each distinct word, and the broadcast index."""
-    spark = words.sparkSession
-    rows = entries.orderBy("id").limit(INDEX_ROWS + 1).collect()
-    if len(rows) > INDEX_ROWS:
-        raise ValueError(f"more than {INDEX_ROWS} entries; use map_large")
-    index = spark.sparkContext.broadcast(Index([(r.id, r.name, r.short) for r in rows], kind))
+    """(word, options) of each distinct word, and the broadcast index of a block of entries."""
+    index = words.sparkSession.sparkContext.broadcast(Index([(r.id, r.name, r.short) for r in entries.orderBy("id").collect()], kind))
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,6 +182,18 @@ def repaired_words(words: DataFrame, entries: DataFrame, kind: str) -> tuple[Dat
 
 def meanings(values: DataFrame, entries: DataFrame, kind: str) -> DataFrame:
     """(cell, canonical_id) of each distinct value (cell)."""
+    blocks = max(1, -(-entries.count() // INDEX_ROWS))
+    parts = [block_meanings(values, entries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else entries, kind) for k in range(blocks)]
+    if blocks == 1:
+        return parts[0].select("cell", "canonical_id")
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.union(more)
+    return found.groupBy("cell").agg(F.max_by("canonical_id", F.struct("score", -F.col("canonical_id"))).alias("canonical_id"))
+
+
+def block_meanings(values: DataFrame, entries: DataFrame, kind: str) -> DataFrame:
+    """(cell, canonical_id, score) of each distinct value against one block of entries."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,9 +218,9 @@ def meanings(values: DataFrame, entries: DataFrame, kind: str) -> DataFrame:
                     own = row
                 options = [[(o["w"], o["s"]) for o in x["options"] or ()] for x in own]
                 out.append(index.value.best([x["word"] for x in own], [x["short"] for x in own], options, {x["word"] for x in row} & GENERIC))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["cell", "canonical_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i for i, _ in out], pa.int64()), pa.array([x for _, x in out], pa.float64())], ["cell", "canonical_id", "score"])
 
-    return joined.mapInArrow(score, "cell string, canonical_id long")
+    return joined.mapInArrow(score, "cell string, canonical_id long, score double")
 
 
 def map_to_entries(df: DataFrame, key: str, field: str, reference: DataFrame, id_col: str, name_col: str, kind: str, short_col: str | None = None, not_single: DataFrame | None = None) -> DataFrame:

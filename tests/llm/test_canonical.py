@@ -23,6 +23,12 @@ def test_vendors(spark):
     assert set(run(spark, NAMES, ref.limit(0), "vendor_id", "vendor_name", "name", "short_name").values()) == {0}
 
 
+def test_long_lists_go_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(C, "INDEX_ROWS", 2)
+    test_vendors(spark)
+    test_families(spark)
+
+
 def test_families(spark):
     ref = spark.createDataFrame(FAMILIES, "family_id long, family_name string, vendor_id long")
     got = run(spark, TYPED, ref, "family_id", "family_name", "family")
