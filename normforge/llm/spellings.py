@@ -7,10 +7,10 @@ bands follows from the collision curve and the recall wanted at a likeness. Abbr
 Candidates are verified by Monge–Elkan similarity in both directions, and the verified links are
 clustered into stars: the heaviest profile of a neighbourhood becomes its centre.
 
-A bucket of up to ``SMALL_BUCKET`` profiles is compared pair by pair; in a larger one the ``HUBS``
-heaviest profiles are compared with all others, and those they don't match go into the next
-round, until none is left, so that a name that fills a third of the table never makes all pairs
-of its spellings. Candidates, links and stars stay distributed; lineage is cut by checkpoints.
+Every bucket is compared completely, so no link depends on the size of a bucket. One of up to
+``SMALL_BUCKET`` profiles is compared in one piece; a larger one is dealt into parts of about
+``HUBS`` profiles and each part meets each, so that no task has all pairs of a frequent name.
+Candidates, links and stars stay distributed; lineage is cut by checkpoints.
 
 Defined results: rows that name nobody (null, empty, placeholders) are in no cluster; equal
 spellings are one profile and so always together; an empty table gives an empty result; further
@@ -206,14 +206,6 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(work, "p long, q long, sim double")
 
 
-def _heaviest(members: DataFrame) -> DataFrame:
-    """The HUBS heaviest members of each bucket; ranked in parts first, so no bucket is sorted by one task."""
-    by_weight = [F.desc("weight"), F.col("p")]
-    parts = members.withColumn("part", F.pmod("p", F.lit(64)))
-    some = parts.withColumn("r", F.row_number().over(Window.partitionBy("h", "part").orderBy(*by_weight))).where(F.col("r") <= HUBS)
-    return some.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(*by_weight))).where(F.col("r") <= HUBS).drop("r", "part")
-
-
 def links(kept: DataFrame) -> DataFrame:
     """(p, q, sim) of every verified candidate pair, p < q."""
 
@@ -234,25 +226,11 @@ def links(kept: DataFrame) -> DataFrame:
         return _verified(full).where(F.col("sim") >= LINK)
 
     sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("low"), F.max("side").alias("high")).where("n > 1 and (low = 0 or low < high)")
-    sized = members.join(sizes.select("h", "n"), "h")
-    small = sized.where(F.col("n") <= SMALL_BUCKET)
-    left, right = small.select("h", "p", "side"), small.select("h", F.col("p").alias("q"), F.col("side").alias("other"))
-    found = [cut(alike(left.join(right, "h").where("(side = 0 and other = 0 and p < q) or (side = 1 and other = 2)").select("p", "q")))]
-    rest = cut(sized.where(F.col("n") > SMALL_BUCKET).select("h", "p", "weight", "side"))
-    while not rest.isEmpty():
-        hub = _heaviest(rest.where("side != 1")).select("h", F.col("p").alias("q"))
-        others = rest.join(hub, "h").where("p != q")
-        linked = cut(alike(others.where("side != 2").select("p", "q")))
-        found.append(linked)
-        both = linked.select("p", "q").union(linked.select(F.col("q").alias("p"), F.col("p").alias("q")))
-        matched = others.where("side != 2").join(both, ["p", "q"], "left_semi").select("h", "p").distinct()
-        left_over = rest.join(hub.withColumnRenamed("q", "p"), ["h", "p"], "left_anti").join(matched, ["h", "p"], "left_anti").select("h", "p", "weight", "side")
-        open_still = left_over.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("low"), F.max("side").alias("high")).where("(low = 0 and n > 1) or low < high")
-        rest = cut(left_over.join(open_still.select("h"), "h", "left_semi"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct() if len(found) > 1 else out
+    parts = F.when(F.col("n") <= SMALL_BUCKET, 1).otherwise(F.ceil(F.col("n") / HUBS)).cast("int")
+    sized = members.join(sizes.select("h", parts.alias("parts")), "h")
+    left = sized.where("side != 2").select("h", "p", "side", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int").alias("part"))
+    right = sized.where("side != 1").select("h", F.col("p").alias("q"), F.col("side").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return cut(alike(left.join(right, ["h", "part"]).where("(side = 0 and other = 0 and p < q) or (side = 1 and other = 2)").select("p", "q")))
 
 
 def stars(kept: DataFrame, linked: DataFrame) -> DataFrame:

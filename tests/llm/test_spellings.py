@@ -32,6 +32,17 @@ def test_large_buckets_go_by_hubs(spark, monkeypatch):
     test_links_what_means_one_organisation(spark)
 
 
+def test_links_do_not_depend_on_the_bucket_size(spark, monkeypatch):
+    """A heavy spelling that matches two light ones must not hide the link between these."""
+    names = ["Orvenvar Vaxondal"] * 9 + ["Orvenvra Vaxondal", "Orvenvar Vaxonda", "Orvnvar Vaxondal", "Orvenvar Vaxndal"]
+    _, kept = S.profiles(table(spark, [(n, None) for n in names]), "vendor_id", ("vendor", "vendor_modified"))
+    small = sorted(map(tuple, S.links(kept).collect()))
+    assert len(small) == 10
+    monkeypatch.setattr(S, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(S, "HUBS", 1)
+    assert sorted(map(tuple, S.links(kept).collect())) == small
+
+
 def test_empty(spark):
     assert pairs(spark, table(spark, [(None, None)])) == []
     assert pairs(spark, table(spark, [(None, None)]).limit(0)) == []
