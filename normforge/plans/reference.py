@@ -153,6 +153,27 @@ def spell_split(spark: SparkSession, folder: str) -> DataFrame:
     return spell.best_split(texts, "product_family", _dictionary(spark, folder))
 
 
+def _families(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "string_normalization").where("product_family is not null").select("product_family")
+
+
+def _family_words(spark: SparkSession, folder: str) -> DataFrame:
+    return _families(spark, folder).distinct().select(F.explode(F.split("product_family", r"(?U)\s+")).alias("word")).where("word != ''").distinct()
+
+
+def spell_candidates_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As spell_candidates, over every family; DuckDB's distance is byte based, so without SQL."""
+    return spell.candidates(_family_words(spark, folder), _dictionary(spark, folder)).select("word", "candidate", "cnt", "distance")
+
+
+def spell_best_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return spell.best(_family_words(spark, folder), _dictionary(spark, folder))
+
+
+def spell_split_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return spell.best_split(_families(spark, folder), "product_family", _dictionary(spark, folder))
+
+
 COLUMNS = ("vendor", "product_family", "product_name", "product_version")
 
 
@@ -370,5 +391,6 @@ FROM (SELECT file_id, product_tree::JSON AS j FROM process_csaf_files WHERE json
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     vendor_normalize, vendor_distinct_joinback, vendor_masked_phrases, vendor_audit, url_suffix_strip, product_special_chars, product_clean, version_extract, version_numeric, function_keywords, keyword_removal,
     synonym_lookup, synonym_alias, synonym_normalize, mine_regex_exact, mine_regex_fuzzy, mine_levenshtein_window, mine_levenshtein_best, word_frequencies, spell_candidates, spell_best, spell_split,
+    spell_candidates_whole, spell_best_whole, spell_split_whole,
     tree_flatten, tree_full_names, undefined_columns, data_source_url, advisory_status, union_by_name, corpus_unpivot, group_list_join, argmax_first,
 )}

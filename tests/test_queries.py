@@ -47,3 +47,22 @@ def test_entry(spark):
 def test_every_query_without_sql_runs(spark):
     for name in ("p2_found", "p2_loaded", "p4_found", "p4_conformed", "p5_found", "p6_found", "p6_products", "mine_regex_fuzzy"):
         assert entry.queries()[name](spark, FOLDER).count() >= 0, name
+
+
+def test_spelling_over_every_family_equals_brute_force(spark, tmp_path):
+    from normforge.operators.spell import edits_between
+
+    texts = ["Dynavauelt-900", "Velriizon-2000", "Ixostär 300", "Robmuvault_5/x", "Ixostar 300", "Velrizon", "\u00a0Dynavault\t900 ", None, ""]
+    known = ["Dynavault 900", "Velrizon-2000", "Ixostar 300", "Ixostär", "Velrizon", "Dynavault"]
+    spark.createDataFrame([(t,) for t in texts], "product_family string").write.parquet(f"{tmp_path}/string_normalization.parquet")
+    spark.createDataFrame([(i, k) for i, k in enumerate(known)], "family_id long, family_name string").write.parquet(f"{tmp_path}/canonical_families.parquet")
+    counts = {r.word: r.cnt for r in entry.reference._dictionary(spark, str(tmp_path)).collect()}
+    asked = {w for t in texts if t for w in t.split()}
+    tiers = {w: {k: edits_between(w, k) for k in counts if edits_between(w, k) <= 2} for w in asked}
+    near = {w: {k: d for k, d in c.items() if d == min(c.values())} for w, c in tiers.items()}
+    best = {w: min(c, key=lambda k: (-counts[k], k), default="") for w, c in near.items()}
+    got = {name: entry.queries()[name](spark, str(tmp_path)).collect() for name in ("spell_candidates_whole", "spell_best_whole", "spell_split_whole")}
+    assert sorted(map(tuple, got["spell_candidates_whole"])) == sorted((w, k, counts[k], d) for w, c in near.items() for k, d in c.items())
+    assert {r.word: r.best for r in got["spell_best_whole"]} == best
+    whole = {t: "" if not t.split() or "" in [best[w] for w in t.split()] else " ".join(best[w] for w in t.split()) for t in texts if t is not None}
+    assert {r.product_family: r.best for r in got["spell_split_whole"]} == whole and best["Ixostär"] == "Ixostär" and best["Velriizon-2000"] == ""
