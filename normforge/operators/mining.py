@@ -110,29 +110,34 @@ def corpus_cells(corpus: DataFrame, config: MinerConfig, vendor: str = "") -> Da
 
 
 def _grams(text: Column, n: int) -> Column:
-    """Substrings of n letters."""
+    """array of (piece, at): hashes of the substrings of n letters and where they start."""
     starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.substring(text, i, F.lit(n))).alias("piece"), i.alias("at")))
 
 
 def match_levenshtein(df: DataFrame, key: str, column: str, corpus: DataFrame, config: MinerConfig, threshold: float = 0.85, vendor: str = "", strip_target: bool = False) -> DataFrame:
     """(key, attribute, value, similarity): for each attribute the most similar window, the first corpus row on ties.
 
     Equal corpus words are compared once. A window within the threshold shares a piece of the word
-    with it, word cut into k + 1 pieces for k edits, so texts and words meet on pieces by an
-    equi-join instead of all pairs, and no corpus size is assumed.
+    with it, word cut into k + 1 pieces for k edits, and there the piece is shifted by k letters at
+    most. So texts and words meet on pieces by an equi-join instead of all pairs, only the windows
+    that a shared piece allows are compared, and no corpus size is assumed.
     """
     words = corpus_cells(corpus, config, vendor).groupBy("attribute", "word").agg(F.min("row_pos").alias("row_pos"))
     n = F.length("word")
     edits = F.floor((1 - F.lit(threshold)) * n + 1e-9).cast("int")
     size = F.greatest(F.floor(n / (edits + 1)), F.lit(1)).cast("int")
-    piece = F.transform(F.sequence(F.lit(0), edits), lambda i: F.substring(F.col("word"), i * size + 1, size))
-    pieces = words.withColumn("piece_len", size).withColumn("piece", F.explode(F.array_distinct(piece)))
+    piece = F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(F.xxhash64(F.substring(F.col("word"), i * size + 1, size)).alias("piece"), (i * size).alias("ahead")))
+    pieces = words.select("attribute", "word", "row_pos", edits.alias("edits"), size.alias("piece_len"), F.inline(piece))
     text = strip(F.col(column)) if strip_target else F.col(column)
     texts = df.select(F.col(key).alias("_key"), text.alias("_text")).where("_text is not null")
     sizes = [r.piece_len for r in pieces.select("piece_len").distinct().collect()]  # no more than the longest word has letters
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_text"), k) for k in sizes]))) if sizes else F.array().cast("array<string>")
-    met = texts.select("_key", F.explode(grams).alias("piece")).join(pieces, "piece").select("_key", "attribute", "word", "row_pos").distinct()
-    windows = met.join(texts, "_key").select("_key", "attribute", "row_pos", F.explode(similar_windows(F.col("_text"), F.col("word"), threshold)).alias("w"))
+    grams = F.flatten(F.array(*[_grams(F.col("_text"), k) for k in sizes])) if sizes else F.array().cast("array<struct<piece:bigint,at:int>>")
+    met = texts.select("_key", F.inline(grams)).join(pieces, "piece")
+    starts = F.sequence(F.col("at") - F.col("ahead") - F.col("edits"), F.col("at") - F.col("ahead") + F.col("edits"))
+    places = met.select("_key", "attribute", "word", "row_pos", F.explode(starts).alias("pos")).where("pos >= 1").distinct()
+    part = F.substring(F.col("_text"), F.col("pos"), n)
+    scored = places.join(texts, "_key").where(F.col("pos") + n - 1 <= F.length("_text")).select("_key", "attribute", "row_pos", F.struct("pos", part.alias("part"), (1 - F.levenshtein(part, F.col("word")) / n).alias("sim")).alias("w"))
+    windows = scored.where(F.col("w.sim") >= threshold)
     best = windows.groupBy("_key", "attribute").agg(F.max_by(F.struct("w.part", "w.sim"), F.struct(F.col("w.sim"), -F.col("row_pos"), -F.col("w.pos"))).alias("b"))
     return best.select(F.col("_key").alias(key), "attribute", strip(F.col("b.part")).alias("value"), F.col("b.sim").alias("similarity"))

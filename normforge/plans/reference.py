@@ -127,6 +127,12 @@ def mine_levenshtein_best(spark: SparkSession, folder: str) -> DataFrame:
     return mining.match_levenshtein(texts, "device_id", "annotation", corpus, MINER).select("device_id", "value", "similarity")
 
 
+def mine_levenshtein_devices(spark: SparkSession, folder: str) -> DataFrame:
+    """As mine_levenshtein_best, with the device corpus and all its search columns; without SQL, where this would be all pairs."""
+    devices = table(spark, folder, "string_miner")
+    return mining.match_levenshtein(_devices(spark, folder).select("device_id", "annotation"), "device_id", "annotation", devices, CORPUS)
+
+
 def word_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return spell.frequencies(_devices(spark, folder), whole=["manufacturer"], by_blank=["manufacturer", "device_family"], by_word=["device_family"]).select("word", "cnt")
 
@@ -390,7 +396,7 @@ FROM (SELECT file_id, product_tree::JSON AS j FROM process_csaf_files WHERE json
 }
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     vendor_normalize, vendor_distinct_joinback, vendor_masked_phrases, vendor_audit, url_suffix_strip, product_special_chars, product_clean, version_extract, version_numeric, function_keywords, keyword_removal,
-    synonym_lookup, synonym_alias, synonym_normalize, mine_regex_exact, mine_regex_fuzzy, mine_levenshtein_window, mine_levenshtein_best, word_frequencies, spell_candidates, spell_best, spell_split,
+    synonym_lookup, synonym_alias, synonym_normalize, mine_regex_exact, mine_regex_fuzzy, mine_levenshtein_window, mine_levenshtein_best, mine_levenshtein_devices, word_frequencies, spell_candidates, spell_best, spell_split,
     spell_candidates_whole, spell_best_whole, spell_split_whole,
     tree_flatten, tree_full_names, undefined_columns, data_source_url, advisory_status, union_by_name, corpus_unpivot, group_list_join, argmax_first,
 )}

@@ -66,3 +66,34 @@ def test_spelling_over_every_family_equals_brute_force(spark, tmp_path):
     assert {r.word: r.best for r in got["spell_best_whole"]} == best
     whole = {t: "" if not t.split() or "" in [best[w] for w in t.split()] else " ".join(best[w] for w in t.split()) for t in texts if t is not None}
     assert {r.product_family: r.best for r in got["spell_split_whole"]} == whole and best["Ixostär"] == "Ixostär" and best["Velriizon-2000"] == ""
+
+
+def test_mining_with_the_device_corpus_equals_brute_force(spark, tmp_path):
+    from normforge.operators.mining import corpus_cells
+
+    rows = [
+        (7, 0, "Robmuvault 200", "ABC-1234-X", "12-3456-7890", "scan: Robmuvalt 2000 ABC-1234-Y 12.3456.7890 ok"), (8, 1, "Velrizon 500", "DEF 5678-Q", None, "DFE 5678-Q and ABC-1234-X, 21-3456-7890"),
+        (9, 2, "Velrizon 500", "", "6G19.8H46.25", "Velrízon 500 / 6G19 8H46.25"), (10, 3, None, "X1", "AB", None), (11, 4, "Ixostär", "x", None, "Ixostär"), (12, 5, None, None, None, ""),
+    ]
+    df = spark.createDataFrame(rows, "device_id long, row_pos int, device_family string, device_type string, article_number string, annotation string")
+    df.write.parquet(f"{tmp_path}/string_miner.parquet")
+
+    def distance(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, line[0] = line[0], i
+            for j, y in enumerate(b, 1):
+                old, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, old + (x != y))
+        return line[-1]
+
+    want = {}
+    for c in corpus_cells(df, entry.reference.CORPUS).collect():
+        for r in rows:
+            for i in range(len(r[5] or "") - len(c.word) + 1):
+                part = r[5][i : i + len(c.word)]
+                sim = 1 - distance(part, c.word) / len(c.word)
+                if sim >= 0.85:
+                    k = (r[0], c.attribute)
+                    want[k] = max(want.get(k, ()), (sim, -c.row_pos, -i, part.strip()))
+    got = {(r.device_id, r.attribute): (r.value, r.similarity) for r in entry.queries()["mine_levenshtein_devices"](spark, str(tmp_path)).collect()}
+    assert got == {k: (v[3], v[0]) for k, v in want.items()} and {a for _, a in got} == {"device_family", "device_type", "article_number"}
