@@ -68,6 +68,7 @@ def pattern(shape: str, least: int) -> str:
 
 TYPE = re.compile(rf"(?<![a-z0-9]){pattern(TYPE_SHAPE, 3)}(?![a-z0-9])", re.I)
 ARTICLE = re.compile(rf"(?<![a-z0-9])(?:{'|'.join(f'(?:{pattern(s, 1)})' for s in ARTICLE_SHAPES)})(?![a-z0-9])", re.I)
+SHAPES = [re.compile(rf"{pattern(s, 1)}(?![a-z0-9])", re.I) for s in ARTICLE_SHAPES]
 WHOLE = {len(s.replace("/", "")) for s in ARTICLE_SHAPES}
 SEPARATORS = re.compile(r"[-_.:/=\s]+")
 #: What makes a code of few letters an article number rather than a word or a number.
@@ -78,6 +79,14 @@ def code(text: str) -> str:
     return SEPARATORS.sub("", text).lower().translate(MISREAD)
 
 
+def articles(text: str) -> Iterator[str]:
+    """Article numbers in a text, whole or cut short; at each place the longest that any shape allows."""
+    at = 0
+    while m := ARTICLE.search(text, at):
+        at = max(x.end() for s in SHAPES if (x := s.match(text, m.start())))
+        yield text[m.start() : at]
+
+
 def whole_article(article: str) -> bool:
     return len(article) >= 9
 
@@ -94,8 +103,8 @@ def mention(name: str | None) -> tuple[str, str]:
             kind = code(m.group())
             text = text[: m.start()] + " | " + text[m.end() :]
             break
-    for m in ARTICLE.finditer(text):
-        found = code(m.group())
+    for written in articles(text):
+        found = code(written)
         if len(found) >= 4 and MIXED.match(found) and len(found) > len(article):
             article = found
     return kind, article

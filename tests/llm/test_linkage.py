@@ -51,3 +51,8 @@ def test_mentions():
     assert L.mention("Nexotek 4000 LEE-8376-A [mh715]") == ("1ee8376a", "mh715")
     assert L.mention("(52/6421/688o) EFN_6728_U , not 51-9364-7171") == ("efn6728u", "5264216880")
     assert L.mention("Velrizon 2000") == ("", "")
+
+
+def test_articles_with_misread_digits_are_taken_whole():
+    cases = {"Ixokan 4000 [9CO5:2H42:21]": "9c052h4221", "controller art. 7FO2-3H74-76": "7f023h7476", "6Gl9 8H46 25": "6g198h4625", "9AB1-222-333": "9ab1222333", "12 3456 789O": "1234567890", "x 7F02-3H74": "7f023h74"}
+    assert {n: L.mention(n)[1] for n in cases} == cases
