@@ -18,6 +18,18 @@ GROUP = "group gruppe groupe holding holdings".split()
 JOINING = "and und et & + the of".split()
 GENERIC = frozenset(LEGAL + BUSINESS + REGION + GROUP + JOINING)
 LONG_GENERIC = [g for g in sorted(GENERIC) if len(g) >= 4]
+
+
+def letters(word: str) -> int:
+    """A bit for each letter that occurs, letters beyond the alphabet shared."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+#: Generic words that a word of so many letters may be a misspelling of: word, its letters, edits.
+NEAR_GENERIC = {n: [(g, letters(g), 1 if n < 6 else 2) for g in LONG_GENERIC if abs(len(g) - n) <= (1 if n < 6 else 2) and (len(g) >= 6 or n < 6)] for n in range(4, 3 + max(map(len, LONG_GENERIC)))}
 # Texts that name nobody.
 NOBODY = frozenset(["", "-", "--", "?", ".", "n/a", "na", "nan", "nil", "none", "null", "unknown", "unbekannt", "inconnu", "multiple", "various", "various manufacturers", "several", "diverse", "tbd", "oem", "misc", "other", "not available", "undefined", "keine", "xxx"])
 # Endings of host names.
@@ -63,10 +75,9 @@ def is_generic(word: str) -> bool:
     """A generic word, also if misspelt."""
     if word in GENERIC:
         return True
-    if len(word) < 4:
-        return False
-    limit = 1 if len(word) < 6 else 2
-    return any(osa(word, g, limit) <= limit for g in LONG_GENERIC if abs(len(g) - len(word)) <= limit and (len(g) >= 6 or limit == 1))
+    own = letters(word)
+    # an edit changes the sets of letters by two at most
+    return any(osa(word, g, limit) <= limit for g, theirs, limit in NEAR_GENERIC.get(len(word), ()) if (own ^ theirs).bit_count() <= 2 * limit)
 
 
 class Name:

@@ -15,9 +15,16 @@ from normforge.sources.tables import spread, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return spellings.clusters(spread(table(spark, folder, "vendor_testoutput_ref")), "vendor_id", ("vendor", "vendor_modified"))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spread(table(spark, folder, "vendor_testoutput_ref"))
-    return spellings.row_pairs(spellings.clusters(rows, "vendor_id", ("vendor", "vendor_modified")), "vendor_id_a", "vendor_id_b")
+    return spellings.row_pairs(_clusters(spark, folder), "vendor_id_a", "vendor_id_b")
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return _clusters(spark, folder).withColumnRenamed("row_key", "vendor_id")
 
 
 def p3_linked(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,5 +77,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.stuffed_pages(spread(table(spark, folder, "documents").select("doc_id", "text", "site")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_linked, p7_found, p8_packed, p8_fill, p8_buckets, p9_uses, p9_shares, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_linked, p7_found, p8_packed, p8_fill, p8_buckets, p9_uses, p9_shares, p10_found)}
 SQL: dict[str, str] = {}

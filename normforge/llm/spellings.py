@@ -1,24 +1,32 @@
 """Variant spellings of names, linked into the entities they mean.
 
-The names a row is typed with, read into their own words, are its *profile*. Profiles meet as candidates through
-MinHash banding over padded q-grams of their words and of their run-together form; the number of
-bands follows from the collision curve and the recall wanted at a likeness. Abbreviated forms
-(cut words, initials) meet the full names by the same letters that an abbreviation keeps.
-Candidates are verified by Monge–Elkan similarity in both directions, and the verified links are
-clustered into stars: the heaviest profile of a neighbourhood becomes its centre.
-
-Every bucket is compared completely, so no link depends on the size of a bucket. One of up to
-``SMALL_BUCKET`` profiles is compared in one piece; a larger one is dealt into parts of about
-``HUBS`` profiles and each part meets each, so that no task has all pairs of a frequent name.
-Candidates, links and stars stay distributed; lineage is cut by checkpoints.
+The names a row is typed with, read into their own words, are its *profile*. Work on spelling is
+done once per distinct word, of which there are far fewer than names:
+
+1. MinHash banding over the padded q-grams of each distinct word, the number of bands following from
+   the collision curve and the recall wanted at a likeness, finds words that are spelt alike. An
+   abbreviated word meets the words it may begin, also with one letter mistyped.
+2. Every word stands under the heaviest words it is alike with, its *heads*; two alike words that
+   share no head get a head of their own. So two words are alike only if they share a head.
+3. Names meet if their heads agree in two words (in the only word, if there is one): each name
+   shows its rarest word together with each of its others, which is enough for two names whose words
+   all match. Names run together are cut into known words first; an initial meets the words it begins.
+4. Names that met are verified by Monge–Elkan similarity in both directions and clustered into
+   stars: the heaviest profile of a neighbourhood becomes its centre.
+
+Every bucket is compared completely; one of over ``SMALL_BUCKET`` members is dealt into parts of
+about ``PART`` and each part meets each, so that no task has all pairs of a frequent name. All
+tables stay distributed, joins of growing tables are shuffled, and lineage is cut by written tables.
 
 Defined results: rows that name nobody (null, empty, placeholders) are in no cluster; equal
-spellings are one profile and so always together; an empty table gives an empty result; further
-columns are ignored.
+spellings are one profile and so always together; where a row has a name written in full, its
+abbreviations are not used, as they fit more organisations; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,20 +34,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normforge.llm.names import Name, osa, word_similarity
-from normforge.session import cut
+from normforge.llm.names import Name, osa, shortened, word_similarity
+from normforge.session import stored
 
-#: Letters of a q-gram, rows of a band, and the recall wanted at a likeness: of words typed apart, and of names run together (seldom misspelt).
-Q, ROWS, RECALL, LIKENESS, LIKENESS_JOINED = 3, 4, 0.95, 0.5, 0.62
+#: Letters of a q-gram, rows of a band, and the recall wanted at a likeness: two words of eight letters with a swap have 0.5.
+Q, ROWS, RECALL, LIKENESS = 2, 4, 0.95, 0.5
 #: Least Monge–Elkan similarity of a link, and least similarity of any word of it.
 LINK, WORD = 0.8, 0.6
-SMALL_BUCKET, HUBS = 128, 64
+#: Members of a bucket compared in one piece, and of a part of a larger one.
+SMALL_BUCKET, PART = 1_024, 512
+#: Letters of the beginnings that abbreviated words may have, those from which one may be mistyped, and of the words that a name may be run together from.
+BEGINNINGS, MISTYPED, PIECES = (3, 9), 5, (3, 24)
 #: Pairs are made from parts of a cluster of so many rows.
 PART_ROWS = 2_000
-PRIME = (1 << 61) - 1
 
 
 def bands(likeness: float, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -47,30 +57,33 @@ def bands(likeness: float, recall: float = RECALL, rows: int = ROWS) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - likeness**rows)))
 
 
-BANDS, BANDS_JOINED = bands(LIKENESS), bands(LIKENESS_JOINED)
+BANDS = bands(LIKENESS)
 _random = np.random.default_rng(20240229)
 _A, _B = _random.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64), _random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64)
+_SEEDS = _random.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 Form = tuple[str, tuple[str, ...], tuple[bool, ...]]
 
 
+@functools.lru_cache(65_536)
+def _gram(gram: str) -> int:
+    return zlib.crc32(gram.encode())
+
+
 def grams(words: Iterable[str]) -> set[int]:
     """Hashes of the padded q-grams of each word."""
     out = set()
     for w in words:
         padded = "#" * (Q - 1) + w + "#" * (Q - 1)
-        out.update(zlib.crc32(padded[i : i + Q].encode()) for i in range(len(padded) - Q + 1))
+        out.update(_gram(padded[i : i + Q]) for i in range(len(padded) - Q + 1))
     return out
 
 
-def band_keys(words: Iterable[str], view: str, count: int) -> list[int]:
+def band_keys(word: str) -> np.ndarray:
     """Hash of each band of the MinHash signature."""
-    x = np.fromiter(grams(words), np.uint64)
-    least = ((x[:, None] * _A[: count * ROWS] + _B[: count * ROWS]) % np.uint64(4294967291)).min(axis=0).astype("<u4").reshape(count, ROWS)
-    return [xxhash.xxh3_64_intdigest(row.tobytes(), seed=k * 256 + ord(view)) - (1 << 63) for k, row in enumerate(least)]
-
-
-def key_hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    x = np.fromiter(grams([word]), np.uint64)
+    least = ((x[:, None] * _A + _B) % np.uint64(4294967291)).min(axis=0).reshape(BANDS, ROWS)
+    mixed = (least * _SEEDS).sum(axis=1)
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
 
 
 def forms(vendor: str | None, modified: str | None) -> list[Form]:
@@ -78,7 +91,7 @@ def forms(vendor: str | None, modified: str | None) -> list[Form]:
     out: list[Form] = []
     for text in (vendor, modified):
         name = Name(text)
-        pairs = list(zip(name.words, name.short, strict=True))[:6]
+        pairs = list(zip(name.words, name.short, strict=True))
         if not pairs:
             continue
         sizes = [len(w) for w, _ in pairs]
@@ -90,6 +103,8 @@ def forms(vendor: str | None, modified: str | None) -> list[Form]:
             kind = "cut"
         else:
             kind = "full"
+        if kind in ("cut", "initial"):
+            pairs = [(w, s or len(w) == 1 or (kind == "cut" and max(sizes) <= 6)) for w, s in pairs]
         pairs.sort()
         form = (kind, tuple(w for w, _ in pairs), tuple(s for _, s in pairs))
         if form not in out:
@@ -108,34 +123,22 @@ def read(text: str) -> list[Form]:
     return [(k, tuple(w.split(" ")), tuple(s == "1" for s in short)) for k, w, short in parts]
 
 
-def keys_of(profile: list[Form]) -> dict[int, int]:
-    """Buckets of a profile with its side: 0 meets 0; 1, an abbreviated form, meets only 2, a full one."""
-    out: dict[int, int] = {}
-    for kind, words, _ in profile:
-        if kind in ("full", "glued"):
-            if kind == "full":
-                out.update(dict.fromkeys(band_keys(words, "w", BANDS), 0))
-            for joined in {"".join(words), "".join(reversed(words))}:
-                out.update(dict.fromkeys(band_keys([joined], "j", BANDS_JOINED), 0))
-            if kind == "full" and len(words) == 2:
-                a, b = words
-                for key in ("c" + "|".join(sorted((a[:4], b[:4]))), f"i{a[0]}|{b}", f"i{b[0]}|{a}"):
-                    out[key_hash(key)] = 2
-        elif kind == "cut" and len(words) == 2:
-            out.setdefault(key_hash("c" + "|".join(sorted(w[:4] for w in words))), 1)
-        elif kind == "initial" and len(words) == 2:
-            a, b = sorted(words, key=len)
-            out.setdefault(key_hash(f"i{a}|{b}"), 1)
-        else:
-            out.update(dict.fromkeys(band_keys(words, "o", BANDS), 0))
-    return out
+@functools.lru_cache(200_000)
+def alike(a: str, b: str, a_short: bool, b_short: bool) -> float:
+    """Similarity of two words; an abbreviation may have one letter mistyped."""
+    found = word_similarity(a, b, a_short, b_short)
+    if not found:
+        for x, y, short in ((a, b, a_short), (b, a, b_short)):
+            if short and MISTYPED <= len(x) < len(y) and min(osa(x, y[: len(x) + k], 1) for k in (0, -1, 1)) <= 1:
+                return 0.8
+    return found
 
 
 def monge_elkan(a: tuple[str, ...], b: tuple[str, ...], a_short: tuple[bool, ...], b_short: tuple[bool, ...]) -> float:
     """Least of the two directed means of each word's best match; 0 if any word has no match."""
     best = []
     for x, s in zip(a, a_short, strict=True):
-        row = [word_similarity(x, y, s, t) for y, t in zip(b, b_short, strict=True)]
+        row = [alike(x, y, s, t) for y, t in zip(b, b_short, strict=True)]
         if max(row) < WORD:
             return 0.0
         best.append(row)
@@ -148,27 +151,15 @@ def likeness(p: list[Form], q: list[Form]) -> float:
     top = 0.0
     for kind, a, s in p:
         for other, b, t in q:
-            if "glued" in (kind, other) and len(a) != len(b):
+            if "glued" in (kind, other) and (len(a) == 1 or len(b) == 1):
                 joined, rest = ("".join(a), b) if len(a) == 1 else ("".join(b), a)
-                for order in (rest, rest[::-1]):
+                as_found = tuple(sorted(rest, key=lambda w: joined.find(w[:3])))
+                for order in {rest, rest[::-1], as_found}:
                     d = osa(joined, "".join(order), 3)
                     if d <= 3:
                         top = max(top, 1 - 0.9 * d / len(joined))
-            elif "initial" in (kind, other):
-                one, two = (a, b) if kind == "initial" else (b, a)
-                if len(one) == len(two) == 2 and kind != other:
-                    i, w = sorted(one, key=len)
-                    for x, y in (two, two[::-1]):
-                        if y.startswith(i) and word_similarity(w, x) >= 0.8:
-                            top = max(top, 0.82)
-                elif one == two:
-                    top = 1.0
             else:
-                if len(a) == len(b) == 1 and kind == "glued":
-                    d = osa(a[0], b[0], 3)
-                    top = max(top, 1 - 0.9 * d / len(a[0]) if d <= 3 else 0.0)
-                else:
-                    top = max(top, monge_elkan(a, b, s, t))
+                top = max(top, monge_elkan(a, b, s, t))
     return top
 
 
@@ -182,8 +173,183 @@ def profiles(df: DataFrame, key: str, fields: tuple[str, str]) -> tuple[DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["row_key", "form"]).filter(pa.array([bool(f) for f in found], pa.bool_()))
 
     key_type = dict(source.dtypes)["row_key"]
-    rows = cut(source.mapInArrow(parse, f"row_key {key_type}, form string").withColumn("p", F.xxhash64("form")))
-    return rows.select("row_key", "p"), cut(rows.groupBy("p").agg(F.first("form").alias("form"), F.count(F.lit(1)).alias("weight")))
+    rows = stored(source.mapInArrow(parse, f"row_key {key_type}, form string").withColumn("p", F.xxhash64("form")))
+    return rows.select("row_key", "p"), stored(rows.groupBy("p").agg(F.first("form").alias("form"), F.count(F.lit(1)).alias("weight")))
+
+
+def met(members: DataFrame, key: str, *texts: str) -> DataFrame:
+    """Pairs (key, other_key) with their texts that share a bucket h, the smaller key first; two members of side 2 don't meet."""
+    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("low")).where("n > 1 and low < 2")
+    parts = F.when(F.col("n") <= SMALL_BUCKET, 1).otherwise(F.ceil(F.col("n") / PART)).cast("int")
+    sized = members.join(sizes.select("h", parts.alias("parts")).hint("merge"), "h")
+    names = list(dict.fromkeys((key, *texts, "side")))
+    left = sized.select("h", *names, F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part"))
+    right = sized.select("h", *[F.col(n).alias(f"other_{n}") for n in names], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right.hint("merge"), ["h", "part"]).where(f"{key} < other_{key} and (side < 2 or other_side < 2)")
+
+
+def _lists(kept: DataFrame) -> DataFrame:
+    """(p, form, weight, kind, words, shorts) of each form of each profile."""
+    out = kept.withColumn("f", F.explode(F.split("form", r"\|"))).withColumn("f", F.split("f", "/"))
+    return out.select("p", "form", "weight", F.col("f")[0].alias("kind"), F.split(F.col("f")[1], " ").alias("words"), F.split(F.col("f")[2], "").alias("shorts"))
+
+
+def covers(text: str, found: list[tuple[int, int, int]]) -> list[list[str]]:
+    """Ways to cut a run-together name into known words (start, letters, weight): all with the fewest words, else the heaviest known beginning or end and its rest."""
+    at: dict[int, list[tuple[int, int]]] = {}
+    for start, size, weight in found:
+        if size < len(text):
+            at.setdefault(start, []).append((start + size, weight))
+    ways: dict[int, list[list[str]]] = {0: [[]]}
+    while ways and len(text) not in ways:
+        after: dict[int, list[list[str]]] = {}
+        for start, sofar in ways.items():
+            for end, _ in at.get(start, ()):
+                after.setdefault(end, []).extend([*w, text[start:end]] for w in sofar)
+        ways = after
+    if len(text) in ways:
+        return ways[len(text)]
+    rest = len(text) - PIECES[0]
+    heads = [(w, end) for end, w in at.get(0, ()) if end <= rest]
+    tails = [(w, -start) for start, ends in at.items() for end, w in ends if end == len(text) and start >= PIECES[0]]
+    return [[text[:k], text[k:]] for k in sorted({abs(max(some)[1]) for some in (heads, tails) if some})]
+
+
+def cut_apart(lists: DataFrame) -> DataFrame:
+    """(g, words) of names run together, cut into words that stand in full names."""
+    least, most = PIECES
+    known = lists.where("kind = 'full'").select("weight", F.explode("words").alias("w")).groupBy("w").agg(F.sum("weight").alias("weight")).where(F.length("w").between(least, most))
+    glued = lists.where("kind = 'glued'").select(F.col("words")[0].alias("g")).distinct()
+    starts = glued.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("g") - least)))
+    longest = F.least(F.lit(most), F.length("g") - F.col("start"))
+    pieces = starts.withColumn("size", F.explode(F.sequence(F.lit(least), longest))).select("g", "start", "size", F.substring("g", F.col("start") + 1, F.col("size")).alias("w"))
+    found = pieces.join(known.hint("merge"), "w").groupBy("g").agg(F.collect_list(F.struct("start", "size", "weight")).alias("found"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ways = [(g, way) for g, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for way in covers(g, [(x["start"], x["size"], x["weight"]) for x in f])]
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in ways], pa.string()), pa.array([w for _, w in ways], pa.list_(pa.string()))], ["g", "words"])
+
+    return stored(found.mapInArrow(work, "g string, words array<string>"))
+
+
+def dictionary(lists: DataFrame, apart: DataFrame) -> DataFrame:
+    """(w, weight, short) of every word; short if it stands as an abbreviation somewhere."""
+    typed = lists.select("weight", F.explode(F.arrays_zip("words", "shorts")).alias("x")).select(F.col("x.words").alias("w"), "weight", (F.col("x.shorts") == "1").alias("short"))
+    pieces = apart.select(F.explode("words").alias("w"), F.lit(0).cast("long").alias("weight"), F.lit(False).alias("short"))
+    return stored(typed.unionByName(pieces).groupBy("w").agg(F.sum("weight").alias("weight"), F.max("short").alias("short")))
+
+
+def spelt_alike(words: DataFrame) -> DataFrame:
+    """(u, v), u < v, of words within the edits that word_similarity allows."""
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.concatenate([band_keys(w) for w in batch.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["h", "w"])
+
+    members = words.where(F.length("w") >= 3).select("w").mapInArrow(banded, "h long, w string").withColumn("side", F.lit(0))
+    u, v = F.col("w"), F.col("other_w")
+    limit = F.when(F.least(F.length(u), F.length(v)) < 5, 1).otherwise(2)
+    edits = F.levenshtein(u, v, 4)
+    # a swap of neighbours is two of these edits and leaves the letters as they are
+    odd = F.size(F.array_except(F.split(u, ""), F.split(v, ""))) + F.size(F.array_except(F.split(v, ""), F.split(u, "")))
+    pairs = met(members, "w").where(F.abs(F.length(u) - F.length(v)) <= limit).select("w", "other_w", edits.alias("edits"), limit.alias("most")).where("edits between 0 and 2 * most")
+    pairs = pairs.where((F.col("edits") <= F.col("most")) | (odd <= 2 * (2 * F.col("most") - F.col("edits")))).select("w", "other_w", (F.col("edits") <= F.col("most")).alias("sure")).distinct()
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [s or word_similarity(a, b) >= WORD for a, b, s in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield batch.select([0, 1]).rename_columns(["u", "v"]).filter(pa.array(same, pa.bool_()))
+
+    return stored(pairs.mapInArrow(swapped, "u string, v string"))
+
+
+def begun(words: DataFrame) -> DataFrame:
+    """(u, v) of words u that may be abbreviations of v."""
+    low, high = BEGINNINGS
+
+    def keyed(own: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, texts, shorts = [], [], []
+                for w, short in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if own:
+                        found = shortened(w, 1) if short and len(w) >= MISTYPED else {w}
+                    else:
+                        starts = [w[:n] for n in range(low, min(high, len(w)) + 1)]
+                        found = {s for start in starts for s in (shortened(start, 1) if len(start) >= MISTYPED else (start,))}
+                    keys += found
+                    texts += [w] * len(found)
+                    shorts += [short] * len(found)
+                hashes = [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(texts, pa.string()), pa.array(shorts, pa.bool_())], ["h", "w", "short"])
+
+        return work
+
+    schema = "h long, w string, short boolean"
+    # a beginning that is no abbreviation is one typed without its last letters: it is a shorter word than the rest of the dictionary
+    left = words.where(F.length("w").between(low, high - 1)).select("w", "short").mapInArrow(keyed(True), schema)
+    right = words.where(F.length("w") > low).select("w", "short").mapInArrow(keyed(False), schema).select("h", F.col("w").alias("v"))
+    pairs = left.join(right.hint("merge"), "h").where("length(w) < length(v)").select(F.col("w").alias("u"), "short", "v").distinct()
+    exact = F.col("v").startswith(F.col("u"))
+    near = [F.levenshtein("u", F.substring("v", F.lit(1), F.length("u") + F.lit(k)), 1) >= 0 for k in (0, 1, -1)]
+    swapped = F.array_sort(F.split("u", "")) == F.array_sort(F.split(F.substring("v", F.lit(1), F.length("u")), ""))
+    mistyped = F.col("short") & (F.length("u") >= MISTYPED) & (near[0] | near[1] | near[2] | swapped)
+    return stored(pairs.where(exact | mistyped).select("u", "v"))
+
+
+def headed(words: DataFrame, same: DataFrame, starts: DataFrame) -> DataFrame:
+    """(w, weight, heads): hashes of the heads of every word; two words of a pair of same or starts share one."""
+    both = same.unionByName(same.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(words.select(F.col("w").alias("u"), F.col("w").alias("v")))
+    weighed = both.join(words.select(F.col("w").alias("v"), "weight").hint("merge"), "v")
+    heads = stored(weighed.groupBy("u").agg(F.max(F.struct("weight", "v"))["v"].alias("v")).select("v").distinct())
+    own = both.unionByName(starts).join(heads.hint("merge"), "v", "left_semi").groupBy("u").agg(F.collect_set(F.xxhash64("v")).alias("heads"))
+    own = stored(own)
+    pairs = same.unionByName(starts).join(own.hint("merge"), "u").join(own.select(F.col("u").alias("v"), F.col("heads").alias("v_heads")).hint("merge"), "v")
+    apart = pairs.where(~F.arrays_overlap("heads", "v_heads")).select(F.explode(F.array("u", "v")).alias("u"), F.xxhash64("u", "v").alias("head"))
+    extra = apart.groupBy("u").agg(F.collect_set("head").alias("extra"))
+    out = own.join(extra.hint("merge"), "u", "left").select(F.col("u").alias("w"), F.concat("heads", F.coalesce("extra", F.array().cast("array<long>"))).alias("heads"))
+    return out.join(words.select("w", "weight").hint("merge"), "w")
+
+
+def _pair(x: Column, y: Column) -> Column:
+    return F.xxhash64(F.least(x, y), F.greatest(x, y))
+
+
+def _crossed(item: Column, other: Column, letters: int) -> Column:
+    """The heads of either word with the first letters of the other one."""
+
+    def keys(headed: Column, begun: Column) -> Column:
+        return F.transform(headed["heads"], lambda x: F.xxhash64(F.lit("#"), F.substring(begun["w"], 1, letters), x))
+
+    return F.concat(keys(item, other), keys(other, item))
+
+
+def buckets(lists: DataFrame, apart: DataFrame, heads: DataFrame) -> DataFrame:
+    """(h, side, p, form) of each bucket of each profile; side 2 waits for abbreviated names.
+
+    The rarest word goes together with each other word. Words in full meet by the heads of both;
+    abbreviated names, whose words have many heads, by the heads of one and the first letters of the other.
+    """
+    cut = lists.where("kind = 'glued'").select("p", "form", F.col("words")[0].alias("g")).join(apart.hint("merge"), "g").select("p", "form", F.lit(False).alias("short"), "words")
+    named = lists.select("p", "form", F.col("kind").isin("cut", "initial").alias("short"), "words").unionByName(cut).withColumn("words", F.array_sort(F.array_distinct("words")))
+    word = named.select("p", "form", "short", F.concat_ws(" ", "words").alias("list"), F.explode("words").alias("w"))
+    letter = F.length("w") == 1
+    nothing = F.array().cast("array<long>")
+    known = heads.select("w", F.when(letter, F.lit(1 << 60)).otherwise(F.col("weight")).alias("weight"), F.when(letter, nothing).otherwise(F.col("heads")).alias("heads"))
+    items = word.join(known.hint("merge"), "w").groupBy("p", "short", "list").agg(F.first("form").alias("form"), F.array_sort(F.collect_list(F.struct("weight", "w", "heads"))).alias("items"))
+    first, rest = F.col("items")[0], F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(1)))
+    one = F.size("items") == 1
+    single = F.transform(first["heads"], lambda x: F.xxhash64(F.lit("1"), x))
+    paired = F.flatten(F.transform(rest, lambda o: F.flatten(F.transform(first["heads"], lambda x: F.transform(o["heads"], lambda y: _pair(x, y))))))
+    by_one, by_two = (F.flatten(F.transform(rest, lambda o, n=n: _crossed(first, o, n))) for n in (1, 2))
+    some_letter = F.exists("items", lambda x: F.length(x["w"]) == 1)
+    active = F.when(one, single).when(~F.col("short"), paired).when(some_letter, F.concat(by_one, by_two)).otherwise(by_two)
+    waiting = F.when(one | F.col("short"), nothing).otherwise(F.concat(by_one, by_two))
+    sides = items.select("p", "form", F.explode(F.array(F.struct(F.lit(0).alias("side"), active.alias("keys")), F.struct(F.lit(2).alias("side"), waiting.alias("keys")))).alias("x"))
+    return sides.select("p", "form", "x.side", F.explode("x.keys").alias("h")).groupBy("h", "p").agg(F.first("form").alias("form"), F.min("side").alias("side"))
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -208,50 +374,43 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 def links(kept: DataFrame) -> DataFrame:
     """(p, q, sim) of every verified candidate pair, p < q."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, weights, buckets, sides = [], [], [], []
-            for p, form, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for bucket, side in keys_of(read(form)).items():
-                    ids.append(p), weights.append(weight), buckets.append(bucket), sides.append(side)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(weights, pa.int64()), pa.array(buckets, pa.int64()), pa.array(sides, pa.int8())], ["p", "weight", "h", "side"])
-
-    members = cut(kept.select("p", "form", "weight").mapInArrow(keyed, "p long, weight long, h long, side byte"))
-    names = kept.select("p", "form")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).where("p < q").distinct()
-        full = pairs.join(names, "p").join(names.select(F.col("p").alias("q"), F.col("form").alias("other")), "q").select("p", "q", "form", "other")
-        return _verified(full).where(F.col("sim") >= LINK)
-
-    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("low"), F.max("side").alias("high")).where("n > 1 and (low = 0 or low < high)")
-    parts = F.when(F.col("n") <= SMALL_BUCKET, 1).otherwise(F.ceil(F.col("n") / HUBS)).cast("int")
-    sized = members.join(sizes.select("h", parts.alias("parts")), "h")
-    left = sized.where("side != 2").select("h", "p", "side", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int").alias("part"))
-    right = sized.where("side != 1").select("h", F.col("p").alias("q"), F.col("side").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return cut(alike(left.join(right, ["h", "part"]).where("(side = 0 and other = 0 and p < q) or (side = 1 and other = 2)").select("p", "q")))
+    lists = _lists(kept)
+    apart = cut_apart(lists)
+    words = dictionary(lists, apart)
+    heads = headed(words, spelt_alike(words), begun(words))
+    members = stored(buckets(lists, apart, heads))
+    pairs = met(members, "p", "form").select("p", F.col("other_p").alias("q"), "form", F.col("other_form").alias("other")).dropDuplicates(["p", "q"])
+    return stored(_verified(pairs).where(F.col("sim") >= LINK))
 
 
 def stars(kept: DataFrame, linked: DataFrame) -> DataFrame:
     """(p, center) of every profile.
 
-    Rank is the summed weight of a profile and what it is linked with. In each round the profiles
-    that outrank all their free neighbours become centres and take those neighbours.
+    Rank is the summed weight of a profile and what it is linked with, abbreviated profiles behind
+    all others, as they fit several organisations. In each round the profiles that outrank all their
+    free neighbours become centres and take those neighbours.
     """
-    edges = cut(linked.union(linked.select(F.col("q").alias("p"), F.col("p").alias("q"), "sim")))
-    reach = edges.join(kept.select(F.col("p").alias("q"), "weight"), "q").groupBy("p").agg(F.sum(F.col("weight") * F.col("sim")).alias("reach"))
-    nodes = kept.select("p", "weight").join(reach, "p", "left").select("p", (F.coalesce("reach", F.lit(0.0)) + F.col("weight")).alias("rank"), F.col("reach").isNull().alias("alone"))
+    both = linked.union(linked.select(F.col("q").alias("p"), F.col("p").alias("q"), "sim"))
+    reach = both.join(kept.select(F.col("p").alias("q"), "weight").hint("merge"), "q").groupBy("p").agg(F.sum(F.col("weight") * F.col("sim")).alias("reach"))
+    whole = F.col("form").rlike(r"(^|\|)(full|glued|one)/").alias("whole")
+    nodes = stored(kept.select("p", "weight", whole).join(reach.hint("merge"), "p", "left").select("p", "whole", (F.coalesce("reach", F.lit(0.0)) + F.col("weight")).alias("rank"), F.col("reach").isNull().alias("alone")))
+    rank = F.struct("whole", "rank", -F.col("p")).alias("rank")
+    ranks = nodes.where("not alone").select("p", rank)
+    edges = stored(both.join(ranks.hint("merge"), "p").join(ranks.select(F.col("p").alias("q"), F.col("rank").alias("q_rank")).hint("merge"), "q"))
     done = [nodes.where("alone").select("p", F.col("p").alias("center"))]
-    free = cut(nodes.where("not alone").select("p", "rank"))
-    while not free.isEmpty():
-        e = edges.join(free, "p").join(free.select(F.col("p").alias("q"), F.col("rank").alias("q_rank")), "q")
-        beaten = e.where("q_rank > rank or (q_rank = rank and q < p)").select("p").distinct()
-        centers = cut(free.join(beaten, "p", "left_anti").select("p"))
-        taken = e.join(centers.select(F.col("p").alias("q")), "q").groupBy("p").agg(F.max(F.struct("sim", "q_rank", "q")).alias("m")).select("p", F.col("m.q").alias("center"))
-        settled = cut(taken.union(centers.select("p", F.col("p").alias("center"))))
+    while not edges.isEmpty():
+        # what every free profile's best free neighbour is decides who is a centre
+        tops = edges.groupBy("p").agg(F.max("q_rank").alias("top"), F.first("rank").alias("rank"))
+        centers = stored(tops.where("rank > top").select("p"))
+        taken = edges.join(centers.select(F.col("p").alias("q")).hint("merge"), "q", "left_semi").groupBy("p").agg(F.max(F.struct("sim", "q_rank", "q"))["q"].alias("center"))
+        settled = stored(taken.union(centers.select("p", F.col("p").alias("center"))))
         done.append(settled)
-        free = cut(free.join(settled, "p", "left_anti"))
+        left = edges.join(settled.select("p").hint("merge"), "p", "left_anti")
+        # a profile whose neighbours are all taken stands alone
+        free = stored(left.join(settled.select(F.col("p").alias("q"), F.lit(True).alias("gone")).hint("merge"), "q", "left"))
+        edges = free.where("gone is null").drop("gone")
+        lone = free.groupBy("p").agg(F.count("gone").alias("gone"), F.count(F.lit(1)).alias("n")).where("gone = n").select("p", F.col("p").alias("center"))
+        done.append(lone)
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -261,13 +420,13 @@ def stars(kept: DataFrame, linked: DataFrame) -> DataFrame:
 def clusters(df: DataFrame, key: str, fields: tuple[str, str]) -> DataFrame:
     """(row_key, cluster) of every row that names somebody."""
     rows, kept = profiles(df, key, fields)
-    return rows.join(stars(kept, links(kept)), "p").select("row_key", F.col("center").alias("cluster"))
+    return rows.join(stars(kept, links(kept)).hint("merge"), "p").select("row_key", F.col("center").alias("cluster"))
 
 
 def row_pairs(grouped: DataFrame, left: str, right: str) -> DataFrame:
     """Each pair of rows of a cluster, smaller key first; large clusters are made in parts."""
     sizes = grouped.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int"))
-    sized = grouped.join(sizes, "cluster")
+    sized = grouped.join(sizes.hint("merge"), "cluster")
     a = sized.select("cluster", F.col("row_key").alias(left), F.pmod(F.xxhash64("row_key"), F.col("parts")).cast("int").alias("part"))
     b = sized.select("cluster", F.col("row_key").alias(right), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return a.join(b, ["cluster", "part"]).where(F.col(left) < F.col(right)).select(left, right)
+    return a.join(b.hint("merge"), ["cluster", "part"]).where(F.col(left) < F.col(right)).select(left, right)

@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 from normforge.llm import spellings as S
@@ -25,9 +26,9 @@ def test_links_what_means_one_organisation(spark):
     assert pairs(spark, df.repartition(3)) == want
 
 
-def test_large_buckets_go_by_hubs(spark, monkeypatch):
+def test_large_buckets_go_by_parts(spark, monkeypatch):
     monkeypatch.setattr(S, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(S, "HUBS", 1)
+    monkeypatch.setattr(S, "PART", 1)
     monkeypatch.setattr(S, "PART_ROWS", 3)
     test_links_what_means_one_organisation(spark)
 
@@ -39,7 +40,7 @@ def test_links_do_not_depend_on_the_bucket_size(spark, monkeypatch):
     small = sorted(map(tuple, S.links(kept).collect()))
     assert len(small) == 10
     monkeypatch.setattr(S, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(S, "HUBS", 1)
+    monkeypatch.setattr(S, "PART", 1)
     assert sorted(map(tuple, S.links(kept).collect())) == small
 
 
@@ -58,3 +59,42 @@ def test_written_forms_read_back():
     for a, b in [r for names in ORGS.values() for r in names]:
         f = S.forms(a, b)
         assert not f or S.read(S.written(f)) == f
+
+
+def typo(word, rng):
+    at, kind = rng.randrange(1, len(word) - 1), rng.randrange(4)
+    return [word[:at] + word[at + 1 :], word[:at] + rng.choice("aeiou") + word[at:], word[:at] + rng.choice("aeiou") + word[at + 1 :], word[: at - 1] + word[at] + word[at - 1] + word[at + 1 :]][kind]
+
+
+def test_recall_against_all_pairs(spark, monkeypatch):
+    """Names of one to eight words, typed with typos, abbreviations and initials, against the verification of all pairs."""
+    rng = random.Random(5)
+    syllables = "dask pasten kelres grod azen mav crest vik tamm hyd orv lun quen skol irm fal".split()
+    vocabulary = [a + b for a in syllables for b in syllables if a != b]
+    names = []
+    for _ in range(60):
+        words = rng.sample(vocabulary, rng.choice([1, 2, 2, 2, 3, 4, 6, 8]))
+        names.append(" ".join(words))
+        for _ in range(4):
+            names.append(" ".join(typo(w, rng) if rng.random() < 0.3 else w for w in rng.sample(words, len(words))))
+        if len(words) > 1:
+            names += [" ".join(w[:5] + "." for w in words), f"{words[0][0]}. " + " ".join(words[1:]), "".join(words[:2]) if len(words) == 2 else words[0] + " " + words[1]]
+    monkeypatch.setattr(S, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(S, "PART", 2)
+    _, kept = S.profiles(table(spark, [(n, None) for n in names]), "vendor_id", ("vendor", "vendor_modified"))
+    found = {(r.p, r.q) for r in S.links(kept).collect()}
+    known = [(r.p, S.read(r.form)) for r in kept.collect()]
+    want = {(min(p, q), max(p, q)) for (p, f), (q, g) in combinations(known, 2) if S.likeness(f, g) >= S.LINK}
+    assert found <= want and len(want) > 500
+    assert len(found) >= 0.95 * len(want)
+
+
+def test_long_names_are_compared_whole(spark):
+    alike = "Alpha Bravo Carlos Deltan Echora Foxtrot "
+    assert pairs(spark, table(spark, [(alike + "Golfan", None), (alike + "Hotela", None), (alike + "Golfann", None)])) == [(0, 2)]
+    assert pairs(spark, table(spark, [("Orvenvar Vaxondal Tammazan", None), ("Orven. Vaxon. Tammaz.", None), ("Glimuyal Vandnajarn", None), ("Glimu. Vandan.", None)])) == [(0, 1), (2, 3)]
+
+
+def test_very_long_words(spark):
+    text = "".join(chr(97 + i * i % 26) for i in range(5_000))
+    assert pairs(spark, table(spark, [(text, None), (text + "x", None), (" ".join([text] * 3), None)]))[:1] == [(0, 1)]
