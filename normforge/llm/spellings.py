@@ -40,14 +40,16 @@ from pyspark.sql import functions as F
 from normforge.llm.names import Name, osa, shortened, word_similarity
 from normforge.session import stored
 
-#: Letters of a q-gram, rows of a band, and the recall wanted at a likeness: two words of eight letters with a swap have 0.5.
-Q, ROWS, RECALL, LIKENESS = 2, 4, 0.95, 0.5
+#: Letters of a q-gram, rows of a band, and the recall wanted at a likeness: of two words of eight letters, 0.5 has one with a swap and 0.39 one with two letters changed.
+Q, ROWS, RECALL, LIKENESS = 2, 4, 0.95, 0.45
 #: Least Monge–Elkan similarity of a link, and least similarity of any word of it.
 LINK, WORD = 0.8, 0.6
+#: Similarity of an initial with a word it begins: two initials alone make no link.
+INITIAL = 0.79
 #: Members of a bucket compared in one piece, and of a part of a larger one.
 SMALL_BUCKET, PART = 1_024, 512
 #: Letters of the beginnings that abbreviated words may have, those from which one may be mistyped, and of the words that a name may be run together from.
-BEGINNINGS, MISTYPED, PIECES = (3, 9), 5, (3, 24)
+BEGINNINGS, MISTYPED, PIECES = (3, 9), 6, (3, 24)
 #: Pairs are made from parts of a cluster of so many rows.
 PART_ROWS = 2_000
 
@@ -125,13 +127,16 @@ def read(text: str) -> list[Form]:
 
 @functools.lru_cache(200_000)
 def alike(a: str, b: str, a_short: bool, b_short: bool) -> float:
-    """Similarity of two words; an abbreviation may have one letter mistyped."""
-    found = word_similarity(a, b, a_short, b_short)
-    if not found:
-        for x, y, short in ((a, b, a_short), (b, a, b_short)):
-            if short and MISTYPED <= len(x) < len(y) and min(osa(x, y[: len(x) + k], 1) for k in (0, -1, 1)) <= 1:
-                return 0.8
-    return found
+    """Similarity of two words; an abbreviation has one letter mistyped at most."""
+    if a == b or not (a_short or b_short):
+        return word_similarity(a, b)
+    top = 0.0
+    for x, y, short in ((a, b, a_short), (b, a, b_short)):
+        if short and y.startswith(x):
+            top = max(top, 0.86 if len(x) >= BEGINNINGS[0] else INITIAL)
+        elif short and len(x) >= MISTYPED and min(osa(x, y[: len(x) + k], 1) for k in (0, -1, 1)) <= 1:
+            top = max(top, 0.8)
+    return top
 
 
 def monge_elkan(a: tuple[str, ...], b: tuple[str, ...], a_short: tuple[bool, ...], b_short: tuple[bool, ...]) -> float:
@@ -178,20 +183,23 @@ def profiles(df: DataFrame, key: str, fields: tuple[str, str]) -> tuple[DataFram
 
 
 def met(members: DataFrame, key: str, *texts: str) -> DataFrame:
-    """Pairs (key, other_key) with their texts that share a bucket h, the smaller key first; two members of side 2 don't meet."""
-    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("low")).where("n > 1 and low < 2")
+    """Pairs (key, other_key) with their texts that share a bucket h, the smaller key first; side 0 meets 0, and 1 meets 2."""
+    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("low"), F.max("side").alias("high")).where("n > 1 and (low = 0 or low < high)")
     parts = F.when(F.col("n") <= SMALL_BUCKET, 1).otherwise(F.ceil(F.col("n") / PART)).cast("int")
     sized = members.join(sizes.select("h", parts.alias("parts")).hint("merge"), "h")
     names = list(dict.fromkeys((key, *texts, "side")))
-    left = sized.select("h", *names, F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part"))
-    right = sized.select("h", *[F.col(n).alias(f"other_{n}") for n in names], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return left.join(right.hint("merge"), ["h", "part"]).where(f"{key} < other_{key} and (side < 2 or other_side < 2)")
+    left = sized.where("side < 2").select("h", *names, F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part"))
+    right = sized.where("side != 1").select("h", *[F.col(n).alias(f"other_{n}") for n in names], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    found = left.join(right.hint("merge"), ["h", "part"]).where(f"(side = 0 and other_side = 0 and {key} < other_{key}) or (side = 1 and other_side = 2 and {key} != other_{key})")
+    turned = F.col(key) < F.col(f"other_{key}")
+    return found.select(*[F.when(turned, F.col(a)).otherwise(F.col(b)).alias(c) for n in names[:-1] for a, b, c in ((n, f"other_{n}", n), (f"other_{n}", n, f"other_{n}"))])
 
 
 def _lists(kept: DataFrame) -> DataFrame:
-    """(p, form, weight, kind, words, shorts) of each form of each profile."""
+    """(p, form, weight, kind, words) of each form of each profile; an abbreviated word ends with a dot."""
     out = kept.withColumn("f", F.explode(F.split("form", r"\|"))).withColumn("f", F.split("f", "/"))
-    return out.select("p", "form", "weight", F.col("f")[0].alias("kind"), F.split(F.col("f")[1], " ").alias("words"), F.split(F.col("f")[2], "").alias("shorts"))
+    dotted = F.zip_with(F.split(F.col("f")[1], " "), F.split(F.col("f")[2], ""), lambda w, s: F.when(s == "1", F.concat(w, F.lit("."))).otherwise(w))
+    return out.select("p", "form", "weight", F.col("f")[0].alias("kind"), dotted.alias("words"))
 
 
 def covers(text: str, found: list[tuple[int, int, int]]) -> list[list[str]]:
@@ -234,14 +242,13 @@ def cut_apart(lists: DataFrame) -> DataFrame:
 
 
 def dictionary(lists: DataFrame, apart: DataFrame) -> DataFrame:
-    """(w, weight, short) of every word; short if it stands as an abbreviation somewhere."""
-    typed = lists.select("weight", F.explode(F.arrays_zip("words", "shorts")).alias("x")).select(F.col("x.words").alias("w"), "weight", (F.col("x.shorts") == "1").alias("short"))
-    pieces = apart.select(F.explode("words").alias("w"), F.lit(0).cast("long").alias("weight"), F.lit(False).alias("short"))
-    return stored(typed.unionByName(pieces).groupBy("w").agg(F.sum("weight").alias("weight"), F.max("short").alias("short")))
+    """(w, weight) of every word."""
+    pieces = apart.select(F.lit(0).cast("long").alias("weight"), F.explode("words").alias("w"))
+    return stored(lists.select("weight", F.explode("words").alias("w")).unionByName(pieces).groupBy("w").agg(F.sum("weight").alias("weight")))
 
 
 def spelt_alike(words: DataFrame) -> DataFrame:
-    """(u, v), u < v, of words within the edits that word_similarity allows."""
+    """(u, v), u < v, of words in full within the edits that word_similarity allows."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +256,7 @@ def spelt_alike(words: DataFrame) -> DataFrame:
                 keys = np.concatenate([band_keys(w) for w in batch.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["h", "w"])
 
-    members = words.where(F.length("w") >= 3).select("w").mapInArrow(banded, "h long, w string").withColumn("side", F.lit(0))
+    members = words.where((F.length("w") >= 3) & ~F.col("w").endswith(".")).select("w").mapInArrow(banded, "h long, w string").withColumn("side", F.lit(0))
     u, v = F.col("w"), F.col("other_w")
     limit = F.when(F.least(F.length(u), F.length(v)) < 5, 1).otherwise(2)
     edits = F.levenshtein(u, v, 4)
@@ -267,50 +274,70 @@ def spelt_alike(words: DataFrame) -> DataFrame:
 
 
 def begun(words: DataFrame) -> DataFrame:
-    """(u, v) of words u that may be abbreviations of v."""
+    """(u, v) of words u that may be abbreviations of v, or that v may be typed with its last letters left out."""
     low, high = BEGINNINGS
 
     def keyed(own: bool):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys, texts, shorts = [], [], []
-                for w, short in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys, texts = [], []
+                for w in batch.column(0).to_pylist():
+                    text = w.rstrip(".")
                     if own:
-                        found = shortened(w, 1) if short and len(w) >= MISTYPED else {w}
+                        found = shortened(text, 1) if text != w and len(text) >= MISTYPED else {text}
                     else:
-                        starts = [w[:n] for n in range(low, min(high, len(w)) + 1)]
-                        found = {s for start in starts for s in (shortened(start, 1) if len(start) >= MISTYPED else (start,))}
+                        starts = [text[:n] for n in range(low, min(high, len(text)) + 1)]
+                        found = {s for start in starts for s in (shortened(start, 1) if len(start) >= MISTYPED - 1 else (start,))}
                     keys += found
                     texts += [w] * len(found)
-                    shorts += [short] * len(found)
-                hashes = [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(texts, pa.string()), pa.array(shorts, pa.bool_())], ["h", "w", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys], pa.int64()), pa.array(texts, pa.string())], ["h", "w"])
 
         return work
 
-    schema = "h long, w string, short boolean"
-    # a beginning that is no abbreviation is one typed without its last letters: it is a shorter word than the rest of the dictionary
-    left = words.where(F.length("w").between(low, high - 1)).select("w", "short").mapInArrow(keyed(True), schema)
-    right = words.where(F.length("w") > low).select("w", "short").mapInArrow(keyed(False), schema).select("h", F.col("w").alias("v"))
-    pairs = left.join(right.hint("merge"), "h").where("length(w) < length(v)").select(F.col("w").alias("u"), "short", "v").distinct()
-    exact = F.col("v").startswith(F.col("u"))
-    near = [F.levenshtein("u", F.substring("v", F.lit(1), F.length("u") + F.lit(k)), 1) >= 0 for k in (0, 1, -1)]
-    swapped = F.array_sort(F.split("u", "")) == F.array_sort(F.split(F.substring("v", F.lit(1), F.length("u")), ""))
-    mistyped = F.col("short") & (F.length("u") >= MISTYPED) & (near[0] | near[1] | near[2] | swapped)
-    return stored(pairs.where(exact | mistyped).select("u", "v"))
+    text = F.rtrim(F.col("w"), F.lit("."))
+    left = words.where(F.length(text).between(low, high - 1)).select("w").mapInArrow(keyed(True), "h long, w string").withColumnRenamed("w", "u")
+    right = words.where(F.length(text) >= low).select("w").mapInArrow(keyed(False), "h long, w string").withColumnRenamed("w", "v")
+    x, y, short = F.rtrim(F.col("u"), F.lit(".")), F.rtrim(F.col("v"), F.lit(".")), F.col("u").endswith(".")
+    pairs = left.join(right.hint("merge"), "h").where("u != v").select("u", "v", x.alias("x"), y.alias("y"), short.alias("short")).distinct()
+    near = [F.levenshtein("x", F.substring("y", F.lit(1), F.length("x") + F.lit(k)), 1) >= 0 for k in (0, 1, -1)]
+    swapped = (F.levenshtein("x", F.substring("y", F.lit(1), F.length("x")), 2) >= 0) & (F.array_sort(F.split("x", "")) == F.array_sort(F.split(F.substring("y", F.lit(1), F.length("x")), "")))
+    mistyped = F.col("short") & (F.length("x") >= MISTYPED) & (near[0] | near[1] | near[2] | swapped)
+    # words in full on both sides that are spelt alike are found by their bands
+    return stored(pairs.where(F.col("y").startswith(F.col("x")) | mistyped).select("u", "v"))
 
 
 def headed(words: DataFrame, same: DataFrame, starts: DataFrame) -> DataFrame:
-    """(w, weight, heads): hashes of the heads of every word; two words of a pair of same or starts share one."""
+    """(w, weight, heads, begins): hashes of the heads of every word, and of those of the words it may begin.
+
+    The words of a pair of ``same`` share one of their heads; the words of a pair of ``starts`` share
+    one of the begins of the first and the heads of the second.
+    """
     both = same.unionByName(same.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(words.select(F.col("w").alias("u"), F.col("w").alias("v")))
     weighed = both.join(words.select(F.col("w").alias("v"), "weight").hint("merge"), "v")
     heads = stored(weighed.groupBy("u").agg(F.max(F.struct("weight", "v"))["v"].alias("v")).select("v").distinct())
-    own = both.unionByName(starts).join(heads.hint("merge"), "v", "left_semi").groupBy("u").agg(F.collect_set(F.xxhash64("v")).alias("heads"))
+
+    def shown(pairs: DataFrame, name: str) -> DataFrame:
+        return pairs.join(heads.hint("merge"), "v", "left_semi").groupBy("u").agg(F.collect_set(F.xxhash64("v")).alias(name))
+
+    none = F.array().cast("array<long>")
+    own = shown(both, "heads").join(shown(starts, "begins").hint("merge"), "u", "left").withColumn("begins", F.coalesce("begins", none))
     own = stored(own)
-    pairs = same.unionByName(starts).join(own.hint("merge"), "u").join(own.select(F.col("u").alias("v"), F.col("heads").alias("v_heads")).hint("merge"), "v")
-    apart = pairs.where(~F.arrays_overlap("heads", "v_heads")).select(F.explode(F.array("u", "v")).alias("u"), F.xxhash64("u", "v").alias("head"))
-    extra = apart.groupBy("u").agg(F.collect_set("head").alias("extra"))
-    out = own.join(extra.hint("merge"), "u", "left").select(F.col("u").alias("w"), F.concat("heads", F.coalesce("extra", F.array().cast("array<long>"))).alias("heads"))
+    theirs = own.select(F.col("u").alias("v"), F.col("heads").alias("v_heads")).hint("merge")
+    head = F.xxhash64("u", "v").alias("head")
+
+    def apart(pairs: DataFrame, name: str) -> DataFrame:
+        return pairs.join(own.hint("merge"), "u").join(theirs, "v").where(~F.arrays_overlap(name, "v_heads"))
+
+    as_head = F.struct(head, F.lit(True).alias("is_head"))
+    extra = apart(same, "heads").select(F.explode(F.array("u", "v")).alias("u"), as_head.alias("x"))
+    begun = F.explode(F.array(F.struct("u", F.struct(head, F.lit(False).alias("is_head")).alias("x")), F.struct(F.col("v").alias("u"), as_head.alias("x"))))
+    extra = extra.unionByName(apart(starts, "begins").select(begun.alias("y")).select("y.u", "y.x"))
+    extra = extra.groupBy("u").agg(F.collect_set("x").alias("extra"))
+
+    def of(is_head: bool) -> Column:
+        return F.transform(F.filter(F.coalesce("extra", F.array().cast("array<struct<head:long,is_head:boolean>>")), lambda x: x["is_head"] == F.lit(is_head)), lambda x: x["head"])
+
+    out = own.join(extra.hint("merge"), "u", "left").select(F.col("u").alias("w"), F.concat("heads", of(True)).alias("heads"), F.concat("begins", of(False)).alias("begins"))
     return out.join(words.select("w", "weight").hint("merge"), "w")
 
 
@@ -318,38 +345,45 @@ def _pair(x: Column, y: Column) -> Column:
     return F.xxhash64(F.least(x, y), F.greatest(x, y))
 
 
-def _crossed(item: Column, other: Column, letters: int) -> Column:
+def _crossed(item: Column, other: Column, letters: int, heads: str, tag: str) -> Column:
     """The heads of either word with the first letters of the other one."""
 
     def keys(headed: Column, begun: Column) -> Column:
-        return F.transform(headed["heads"], lambda x: F.xxhash64(F.lit("#"), F.substring(begun["w"], 1, letters), x))
+        return F.transform(headed[heads], lambda x: F.xxhash64(F.lit(tag), F.substring(begun["text"], 1, letters), x))
 
     return F.concat(keys(item, other), keys(other, item))
 
 
 def buckets(lists: DataFrame, apart: DataFrame, heads: DataFrame) -> DataFrame:
-    """(h, side, p, form) of each bucket of each profile; side 2 waits for abbreviated names.
+    """(h, side, p, form) of each bucket of each profile; side 0 meets 0, and 1 meets 2.
 
-    The rarest word goes together with each other word. Words in full meet by the heads of both;
-    abbreviated names, whose words have many heads, by the heads of one and the first letters of the other.
+    The rarest word goes together with each other word. Names meet by the heads of both words
+    (side 0). An abbreviated name (side 1), whose words begin many, meets others (side 2) by the
+    heads of one word and the first letters of the other.
     """
     cut = lists.where("kind = 'glued'").select("p", "form", F.col("words")[0].alias("g")).join(apart.hint("merge"), "g").select("p", "form", F.lit(False).alias("short"), "words")
     named = lists.select("p", "form", F.col("kind").isin("cut", "initial").alias("short"), "words").unionByName(cut).withColumn("words", F.array_sort(F.array_distinct("words")))
     word = named.select("p", "form", "short", F.concat_ws(" ", "words").alias("list"), F.explode("words").alias("w"))
-    letter = F.length("w") == 1
-    nothing = F.array().cast("array<long>")
-    known = heads.select("w", F.when(letter, F.lit(1 << 60)).otherwise(F.col("weight")).alias("weight"), F.when(letter, nothing).otherwise(F.col("heads")).alias("heads"))
-    items = word.join(known.hint("merge"), "w").groupBy("p", "short", "list").agg(F.first("form").alias("form"), F.array_sort(F.collect_list(F.struct("weight", "w", "heads"))).alias("items"))
+    # a letter alone has no heads and is never the rarest word
+    text, none = F.rtrim(F.col("w"), F.lit(".")), F.array().cast("array<long>")
+    letter = F.length(text) == 1
+    known = heads.select("w", text.alias("text"), F.when(letter, F.lit(1 << 60)).otherwise(F.col("weight")).alias("weight"), F.when(letter, none).otherwise(F.col("heads")).alias("heads"), F.when(letter, none).otherwise(F.array_union("heads", "begins")).alias("begins"))
+    items = word.join(known.hint("merge"), "w").groupBy("p", "short", "list").agg(F.first("form").alias("form"), F.array_sort(F.collect_list(F.struct("weight", "text", "heads", "begins"))).alias("items"))
     first, rest = F.col("items")[0], F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(1)))
     one = F.size("items") == 1
     single = F.transform(first["heads"], lambda x: F.xxhash64(F.lit("1"), x))
     paired = F.flatten(F.transform(rest, lambda o: F.flatten(F.transform(first["heads"], lambda x: F.transform(o["heads"], lambda y: _pair(x, y))))))
-    by_one, by_two = (F.flatten(F.transform(rest, lambda o, n=n: _crossed(first, o, n))) for n in (1, 2))
-    some_letter = F.exists("items", lambda x: F.length(x["w"]) == 1)
-    active = F.when(one, single).when(~F.col("short"), paired).when(some_letter, F.concat(by_one, by_two)).otherwise(by_two)
-    waiting = F.when(one | F.col("short"), nothing).otherwise(F.concat(by_one, by_two))
-    sides = items.select("p", "form", F.explode(F.array(F.struct(F.lit(0).alias("side"), active.alias("keys")), F.struct(F.lit(2).alias("side"), waiting.alias("keys")))).alias("x"))
-    return sides.select("p", "form", "x.side", F.explode("x.keys").alias("h")).groupBy("h", "p").agg(F.first("form").alias("form"), F.min("side").alias("side"))
+    few = F.exists("items", lambda x: F.length(x["text"]) < BEGINNINGS[0])
+
+    def crossed(letters: int, heads: str, tag: str = "#") -> Column:
+        return F.flatten(F.transform(rest, lambda o: _crossed(first, o, letters, heads, tag)))
+
+    # an initial meets other abbreviations by keys of their own
+    begun = F.concat(F.when(few, F.concat(crossed(1, "begins"), crossed(1, "begins", "."))).otherwise(none), crossed(BEGINNINGS[0], "begins"))
+    waiting = F.concat(crossed(1, "heads"), crossed(BEGINNINGS[0], "heads"), F.when(F.col("short") & ~few, crossed(1, "begins", ".")).otherwise(none))
+    keys = (F.when(one, single).otherwise(paired), F.when(one | ~F.col("short"), none).otherwise(begun), F.when(one, none).otherwise(waiting))
+    sides = items.select("p", "form", F.posexplode(F.array(*keys)).alias("side", "keys"))
+    return sides.select("p", "form", "side", F.explode("keys").alias("h")).groupBy("h", "p", "side").agg(F.first("form").alias("form"))
 
 
 def _verified(pairs: DataFrame) -> DataFrame:

@@ -85,14 +85,15 @@ def test_recall_against_all_pairs(spark, monkeypatch):
     found = {(r.p, r.q) for r in S.links(kept).collect()}
     known = [(r.p, S.read(r.form)) for r in kept.collect()]
     want = {(min(p, q), max(p, q)) for (p, f), (q, g) in combinations(known, 2) if S.likeness(f, g) >= S.LINK}
-    assert found <= want and len(want) > 500
-    assert len(found) >= 0.95 * len(want)
+    lost = sorted((dict(known)[p], dict(known)[q]) for p, q in want - found)
+    assert found <= want and len(want) > 500, lost[:3]
+    assert len(found) >= 0.95 * len(want), lost[::7]
 
 
 def test_long_names_are_compared_whole(spark):
     alike = "Alpha Bravo Carlos Deltan Echora Foxtrot "
     assert pairs(spark, table(spark, [(alike + "Golfan", None), (alike + "Hotela", None), (alike + "Golfann", None)])) == [(0, 2)]
-    assert pairs(spark, table(spark, [("Orvenvar Vaxondal Tammazan", None), ("Orven. Vaxon. Tammaz.", None), ("Glimuyal Vandnajarn", None), ("Glimu. Vandan.", None)])) == [(0, 1), (2, 3)]
+    assert pairs(spark, table(spark, [("Orvenvar Vaxondal Tammazan", None), ("Orven. Vaxon. Tammaz.", None), ("Glimuyal Vandnajarn", None), ("Glimuy. Vndnaj.", None)])) == [(0, 1), (2, 3)]
 
 
 def test_very_long_words(spark):
