@@ -1,11 +1,19 @@
 """Mixing sources to target shares of the total size, by entropy balancing.
 
-Each text gets a rate between 0 and the cap of its source. Among all rates that give every source
-its target tokens, those nearest to an even use of the source, in the sense of relative entropy,
-are exponential tilts of the text's length, ``R * sigmoid(a + l * z)``. The multipliers ``l``, one
-per source, are the solution of a convex dual problem found by Newton steps whose gradients and
-curvatures are sums over all texts, one small aggregate a step. Rates are then rounded to whole
-copies by a hash of the key; the remaining deviation is taken away by moving the rounding point.
+Each text gets a rate between 0 and the cap of its source. Wanted are the rates nearest to an even use
+(``EVEN`` uses of each text, half the cap where that is less), in the sense of relative entropy per
+token, under constraints that all sources share:
+
+* every source gets its target tokens;
+* the mean logarithm of a text's length, over the tokens of the mix, stays that of the corpus, so that
+  a source of short notes doesn't shorten the whole. Where caps don't allow it, it is met as far as
+  they do: the constraint is soft by ``SOFT``.
+
+The solution tilts the even rates exponentially along the constraint functions x, one per source and
+``z = log length - mean``: ``cap * sigmoid(even + l_source + l_length * z)``. The multipliers ``l`` solve
+the convex dual by Newton steps; gradient and curvature are sums over all texts, one aggregate of one
+row a source per step. Rates are then rounded to whole copies by a hash of the key, and what rounding
+leaves over is taken away by moving each source's rounding point.
 
 Defined results: sources are compared trimmed and in lower case; texts whose source is null or has
 no target, and texts without tokens, are used 0 times; a source with a target but without texts
@@ -17,11 +25,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Newton steps at most, relative error of the tokens at which they end, bins of the rounding point.
-STEPS, NEAR, BINS = 30, 1e-7, 4096
+#: Newton steps at most, relative error of the constraints at which they end, longest step of a multiplier, bins of the rounding point.
+STEPS, NEAR, LONGEST_STEP, BINS = 40, 1e-9, 2.0, 4096
+#: Even uses of a text, and softness of the constraint on lengths: part of the tokens by which it may miss for each unit of its multiplier.
+EVEN, SOFT = 1.0, 1e-3
 #: A source planned this near to its cap uses every text to the cap.
 FULL = 0.999
 
@@ -37,50 +48,57 @@ def _lookup(values: dict[str, float], of: Column) -> Column:
 
 
 def plan(lengths: DataFrame, targets: DataFrame, total: float | None = None) -> dict[str, dict[str, float]]:
-    """Per source: cap, base rate, multiplier, mean length and wanted tokens."""
+    """Per source: cap, wanted tokens, whether it is used to the cap, even log odds, multiplier; and the corpus' mean log length with its multiplier."""
     rows = {r.source: r for r in targets.groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).where("source is not null").collect()}
-    held = {r.source: r for r in lengths.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.avg("n_tokens").alias("mean")).where(F.col("source").isin(list(rows))).collect()}
-    live = {s for s, r in rows.items() if s in held and (r.share or 0) > 0 and (r.cap or 0) > 0}
+    sums = (F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.ln("n_tokens")).alias("logs"))
+    held = {r.source: r for r in lengths.where("n_tokens > 0").groupBy("source").agg(*sums).where(F.col("source").isin(list(rows))).collect()}
+    live = sorted(s for s, r in rows.items() if s in held and (r.share or 0) > 0 and (r.cap or 0) > 0)
     if not live:
         return {}
     shares = sum(rows[s].share for s in live)
     most = min(rows[s].cap * held[s].tokens * shares / rows[s].share for s in live)
     size = min(most, float(sum(h.tokens for h in held.values()))) if total is None else total
+    mean = sum(held[s].logs for s in live) / sum(held[s].tokens for s in live)
     out = {}
     for s in live:
         cap, want = float(rows[s].cap), size * rows[s].share / shares
-        base = want / held[s].tokens
-        out[s] = {"cap": cap, "want": want, "mean": float(held[s].mean), "base": min(base, cap), "full": float(base >= FULL * cap), "l": 0.0}
+        even = min(EVEN, cap / 2)
+        out[s] = {"cap": cap, "want": want, "full": float(want >= FULL * cap * held[s].tokens), "even": math.log(even / (cap - even)), "l": 0.0, "mean": mean, "l_length": 0.0}
     return out
 
 
 def rate(p: dict[str, dict[str, float]], source: Column, tokens: Column) -> Column:
     """Tilted rate of a text."""
-    cap, base, full = (_lookup({s: v[k] for s, v in p.items()}, source) for k in ("cap", "base", "full"))
-    offset = _lookup({s: 0.0 if v["full"] else math.log(v["base"] / (v["cap"] - v["base"])) for s, v in p.items()}, source)
-    z = tokens / _lookup({s: v["mean"] for s, v in p.items()}, source) - 1
-    tilted = cap / (1 + F.exp(-(offset + _lookup({s: v["l"] for s, v in p.items()}, source) * F.tanh(z))))
-    return F.when(tokens <= 0, 0.0).when(full > 0, cap).otherwise(F.coalesce(tilted, F.lit(0.0)))
+    cap, full = (_lookup({s: v[k] for s, v in p.items()}, source) for k in ("cap", "full"))
+    one = next(iter(p.values()), {"mean": 0.0, "l_length": 0.0})
+    odds = _lookup({s: v["even"] + v["l"] for s, v in p.items()}, source) + one["l_length"] * (F.ln(tokens) - one["mean"])
+    return F.when(tokens <= 0, 0.0).when(full > 0, cap).otherwise(F.coalesce(cap / (1 + F.exp(-odds)), F.lit(0.0)))
 
 
 def solved(lengths: DataFrame, p: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
-    """The plan with the multipliers that give each source its tokens."""
+    """The plan with the multipliers that meet the constraints."""
+    live = [s for s, v in p.items() if not v["full"]]
+    if not live:
+        return p
+    mean, allowed = p[live[0]]["mean"], SOFT * sum(v["want"] for v in p.values())
+    texts = lengths.where(F.col("source").isin(list(p)) & (F.col("n_tokens") > 0))
+    n, z = F.col("n_tokens"), F.ln("n_tokens") - mean
     for _ in range(STEPS):
         cap = _lookup({s: v["cap"] for s, v in p.items()}, F.col("source"))
-        z = F.tanh(F.col("n_tokens") / _lookup({s: v["mean"] for s, v in p.items()}, F.col("source")) - 1)
-        r = rate(p, F.col("source"), F.col("n_tokens"))
-        sums = lengths.where(F.col("source").isin(list(p))).withColumn("r", r).groupBy("source").agg(F.sum(F.col("r") * F.col("n_tokens")).alias("have"), F.sum(F.col("n_tokens") * z * F.col("r") * (1 - F.col("r") / cap)).alias("slope")).collect()
-        worst = 0.0
-        for row in sums:
-            v = p[row.source]
-            if v["full"]:
-                continue
-            gap = v["want"] - row.have
-            worst = max(worst, abs(gap) / v["want"])
-            if row.slope and abs(row.slope) > 1e-12:
-                v["l"] += max(-1.0, min(1.0, gap / row.slope))
-        if worst < NEAR:
+        bend = n * F.col("r") * (1 - F.col("r") / cap)
+        sums = (F.sum(n * F.col("r")).alias("have"), F.sum(n * F.col("r") * z).alias("have_z"), F.sum(bend).alias("c"), F.sum(bend * z).alias("cz"), F.sum(bend * z * z).alias("czz"))
+        got = {r.source: r for r in texts.withColumn("r", rate(p, F.col("source"), n)).groupBy("source").agg(*sums).collect()}
+        gradient = np.array([p[s]["want"] - got[s].have for s in live] + [-sum(r.have_z for r in got.values()) - allowed * p[live[0]]["l_length"]])
+        if max(abs(g) / w for g, w in zip(gradient, [p[s]["want"] for s in live] + [allowed / SOFT], strict=True)) < NEAR:
             break
+        bent = np.diag([got[s].c for s in live] + [sum(got[s].czz for s in live) + allowed])
+        bent[-1, :-1] = bent[:-1, -1] = [got[s].cz for s in live]
+        step = np.linalg.solve(bent + 1e-12 * np.trace(bent) * np.eye(len(bent)), gradient)
+        step *= min(1.0, LONGEST_STEP / np.abs(step).max())
+        for s, move in zip(live, step[:-1], strict=True):
+            p[s]["l"] += float(move)
+        for v in p.values():
+            v["l_length"] += float(step[-1])
     return p
 
 

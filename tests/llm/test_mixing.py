@@ -1,3 +1,7 @@
+import math
+
+import numpy as np
+
 from normforge.llm import mixing as M
 
 
@@ -35,6 +39,44 @@ def test_beyond_the_caps_every_text_is_used_to_its_cap(spark):
     assert all(r.uses == 2 for r in rows)
 
 
+def bisected(f, low=-60.0, high=60.0):
+    """Where the decreasing function f is 0."""
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if f(mid) > 0 else (low, mid)
+    return (low + high) / 2
+
+
+def test_multipliers_agree_with_another_solver(spark):
+    """Nested bisection on the same optimality conditions, over sources whose lengths differ so that all constraints bind."""
+    rng = np.random.default_rng(1)
+    sizes = {"long": rng.integers(200, 3000, 150), "short": rng.integers(5, 60, 400), "mixed": rng.integers(5, 2000, 200)}
+    df = spark.createDataFrame([(i, s, int(n)) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("long", 0.5, 2), ("short", 0.1, 4), ("mixed", 0.4, 3)], "source string, target_share double, max_repeats int")
+    p = M.solved(df, M.plan(df, targets))
+    mean = p["long"]["mean"]
+
+    def rates(s, l_source, l_length):
+        return p[s]["cap"] / (1 + np.exp(-(p[s]["even"] + l_source + l_length * (np.log(sizes[s]) - mean))))
+
+    def sources(l_length):
+        return {s: bisected(lambda x, s=s: p[s]["want"] - (rates(s, x, l_length) * sizes[s]).sum()) for s in sizes}
+
+    def missed(l_length):
+        found = sources(l_length)
+        return -sum((rates(s, found[s], l_length) * n * (np.log(n) - mean)).sum() for s, n in sizes.items()) - M.SOFT * sum(v["want"] for v in p.values()) * l_length
+
+    l_length = bisected(missed)
+    assert abs(l_length) > 0.05 and abs(p["long"]["l_length"] - l_length) < 1e-5
+    for s, x in sources(l_length).items():
+        assert abs(x) > 0.05 and abs(p[s]["l"] - x) < 1e-5
+    used = M.uses(df, targets, "doc_id").collect()
+    tokens = sum(r.uses * r.n_tokens for r in used)
+    assert all(abs(sum(r.uses * r.n_tokens for r in used if r.source == t.source) / tokens - t.target_share) < 0.01 for t in targets.collect())
+    kept = sum(r.uses * r.n_tokens * math.log(r.n_tokens) for r in used) / tokens
+    assert abs(kept - mean) < 0.03
+
+
 def test_empty(spark):
     df = table(spark, [("a", 2)])
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
