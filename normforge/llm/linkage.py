@@ -73,6 +73,8 @@ def pattern(shape: str, least: int) -> str:
 SEPARATORS = re.compile(r"[-_.:/=\s]+")
 #: What makes a code of few letters an article number rather than a word or a number.
 MIXED = re.compile(r".*[a-z].*\d|.*\d.*[a-z]|\d{6,}", re.S)
+#: What a text has that holds a loose code.
+HINT = re.compile(r"[a-z][-_.:/=]?\d|\d[-_.:/= ]?[a-z]{1,4}[-_.:/= ]?\d|\d[a-z]|\d[-_.:/=][a-z0-9]|\d{6}|\d \d", re.I)
 #: Pieces that may be one code: joined by separators, or by a blank where both have digits.
 RUN = re.compile(r"[a-z0-9]+(?:(?:[-_.:/=]|(?<=[0-9]) (?=[a-z]{0,4}[0-9])|(?<=[0-9][a-z]) (?=[a-z]{0,4}[0-9]))[a-z0-9]+)*", re.I)
 
@@ -130,7 +132,7 @@ class Shapes:
                 article, where = found, written
         if where:
             text = text.replace(where, " | ")
-        loose = {code(run) for m in RUN.finditer(text) for run in runs(m.group()) if codelike(run)}
+        loose = set() if not HINT.search(text) else {code(run) for m in RUN.finditer(text) for run in runs(m.group()) if codelike(run)}
         return kind, article, " ".join(sorted(loose))
 
     def listing(self, kind: str | None, article: str | None) -> tuple[str, str, bool]:
@@ -153,16 +155,18 @@ def shape(column: Column) -> Column:
 
 def learnt(devices: DataFrame, columns: tuple[str, str]) -> Shapes:
     """Shapes that at least SHARE of the listings' codes have in each of the two columns, at most 1 / SHARE of each."""
-    out = []
-    for column in columns:
-        counted = devices.select(shape(F.col(column)).alias("s")).where("s is not null").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-        joined = counted.groupBy(F.translate("s", "/", "").alias("letters")).agg(F.sum("n").alias("n"), F.max_by("s", F.struct(F.when(F.col("s").contains("/"), F.col("n")).otherwise(0), "s")).alias("s"))
-        # one row; the bound on shapes follows from the share
-        whole = joined.agg(F.sum("n").alias("all"))
-        found = [(r.s, r.n) for r in joined.join(F.broadcast(whole)).where(F.col("n") >= SHARE * F.col("all")).select("s", "n").collect()]
-        # what begins a more frequent shape is a code cut short
-        out.append(tuple(sorted(s for s, n in found if not any(o != s and o.startswith(s) and (o[len(s)] == "/" or "/" not in o) and m > n for o, m in found))))
-    return Shapes(*out)
+    shapes = devices.select(F.posexplode(F.array(*[shape(F.col(c)) for c in columns])).alias("column", "s")).where("s is not null")
+    counted = stored(shapes.groupBy("column", "s").agg(F.count(F.lit(1)).alias("n")))
+    all_of = {r.column: r.n for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}  # two rows
+    # of the ways to write a code, the most frequent one with separators
+    joined = counted.groupBy("column", F.translate("s", "/", "").alias("letters")).agg(F.sum("n").alias("n"), F.max_by("s", F.struct(F.when(F.col("s").contains("/"), F.col("n")).otherwise(0), "s")).alias("s"))
+    often = F.lit(False)
+    for column, n in all_of.items():
+        often = often | ((F.col("column") == column) & (F.col("n") >= SHARE * n))
+    found = joined.where(often).select("column", "s", "n").collect()
+    # what begins a more frequent shape is a code cut short
+    whole = [r for r in found if not any(o.column == r.column and o.s != r.s and o.s.startswith(r.s) and (o.s[len(r.s)] == "/" or "/" not in o.s) and o.n > r.n for o in found)]
+    return Shapes(*[tuple(sorted(r.s for r in whole if r.column == column)) for column in (0, 1)])
 
 
 def whole_article(article: str) -> bool:
