@@ -4,7 +4,6 @@ import itertools
 import json
 
 import numpy as np
-import pytest
 
 from normforge.operators import drift
 
@@ -87,12 +86,52 @@ def test_assignment_is_cheapest():
         assert sum(cost[i, j] for i, j in enumerate(got)) == min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
 
 
-@pytest.mark.parametrize(("shape", "want"), [("STRING", {}), ("OBJECT<a: STRING, `b c`: OBJECT<d: BIGINT>>", {"a": "STRING", "b c": "OBJECT<d: BIGINT>"}), ("OBJECT<a: DECIMAL(3,1), b: ARRAY<OBJECT<x: STRING>>>", {"a": "DECIMAL(3,1)", "b": "ARRAY<OBJECT<x: STRING>>"})])
-def test_members(shape, want):
-    assert drift.members(shape) == want
+P = drift.POINTER
 
 
-def test_moves():
-    old = {"a": ("STRING", "string"), "spec": ("OBJECT<x: STRING>", "object")}
-    new = {"spec": ("OBJECT<a: STRING, x: STRING>", "object")}
-    assert ("moved", "a", "spec.a") in drift.edit_script(old, new, {})
+def test_script_moves_and_renames_members():
+    old = {"a": "string", "spec": "object", f"{P}/spec/x": "string", f"{P}/spec/w": "number", "kept": "string"}
+    new = {f"{P}/spec/a": "string", "spec": "object", f"{P}/spec/y": "string", f"{P}/spec/w": "string", "kept": "string"}
+    got = drift.Edits(old, new, {("a", f"{P}/spec/a"): 1.0, (f"{P}/spec/x", f"{P}/spec/y"): 0.9}).steps()
+    assert sorted(got) == sorted([("moved", "a", f"{P}/spec/a"), ("removed", "a", ""), ("member_renamed", f"{P}/spec/x", f"{P}/spec/y"), ("member_retyped", f"{P}/spec/w", "")])
+
+
+def test_an_object_is_renamed_with_its_members():
+    old = {"size": "object", f"{P}/size/w": "number", f"{P}/size/h": "number"}
+    new = {"dim": "object", f"{P}/dim/w": "number", f"{P}/dim/height": "number"}
+    carried = {(f"{P}/size/w", f"{P}/dim/w"): 1.0, (f"{P}/size/h", f"{P}/dim/height"): 1.0, ("size", "dim"): 0.0}
+    assert sorted(drift.Edits(old, new, carried).steps()) == [("member_renamed", f"{P}/size/h", f"{P}/dim/height"), ("renamed", "size", "dim")]
+    assert {k for k, _, _ in drift.Edits(old, new, {("size", "dim"): 0.1}).steps()} == {"removed", "added", "member_removed", "member_added"}
+
+
+def test_script_is_cheapest_over_all_pairings():
+    """The cost of the script's pairing of leaves, against every other pairing."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        gone, came = [f"g{i}" for i in range(3)], ["c0", "c1", f"{P}/o/c2"]
+        carried = {(g, c): float(rng.uniform(0, 1)) for g in gone for c in came}
+        edits = drift.Edits({**dict.fromkeys(gone, "string"), "o": "object"}, {**dict.fromkeys(came, "string"), "o": "object"}, carried)
+
+        def cost(pairs, edits=edits):
+            return sum(min(edits.cost(g, c), 9) for g, c in pairs) + drift.DELETE * (3 - len(pairs)) + drift.ADD * (3 - len(pairs))
+
+        every = [list(zip(g, c, strict=True)) for n in range(4) for g in itertools.combinations(gone, n) for c in itertools.permutations(came, n)]
+        assert abs(cost(edits.paired()) - min(map(cost, every))) < 1e-9
+
+
+def test_nested_changes_of_a_file_and_their_projection(spark):
+    names, widths = [f"name {i}" for i in range(6)], [1.5, 2.25, 3, 4, 5, 6]
+    one = records(vendor=names, spec=[{"x": f"x{i}", "w": w} for i, w in enumerate(widths)])
+    two = records(spec=[{"y": f"x{i}", "w": w, "maker": n} for i, (w, n) in enumerate(zip(widths, names, strict=True))])
+    df = table(spark, [(1, one), (2, two)])
+    got = changes(df)
+    assert got == sorted([(102, "vendor", "removed", ""), (102, "vendor", "moved", f"{P}/spec/maker"), (102, "/spec/x", "member_renamed", "/spec/y")])
+    out = drift.conform(df, [("vendor", "string")])
+    assert sorted((r.file_seq, r.vendor) for r in out.collect()) == sorted((s, n) for s in (1, 2) for n in names)
+
+
+def test_numbers_are_compared_exactly(spark):
+    df = table(spark, [(1, records(old=[3.2, 4.5, 5.25, 6, 7, 8])), (2, records(new=[3.9, 4.1, 5.75, 6.5, 7.5, 8.5]))])
+    assert {c[2] for c in changes(df)} == {"added", "removed"}
+    df = table(spark, [(1, records(old=[3.2, 4.5, 5.25, 6, 7, 8])), (2, records(new=[3.20, 4.50, 5.25, 6.0, 7.0, 8.0]))])
+    assert changes(df) == [(102, "old", "renamed", "new")]
