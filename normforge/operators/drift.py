@@ -21,7 +21,7 @@ Steps on members have the kinds ``member_added``, ``member_removed``, ``member_r
 Defined results: null, malformed and non-object ``attrs`` have no fields, and a repeated key makes
 the text malformed; a file delivered twice counts once; a node whose values differ in type within
 a file is ``mixed``; null product ids are no evidence of a rename; records with a null feed or file
-number belong to no file; numbers are equal if their values are, however written; members below
+number belong to no file; numbers are carried on if they differ by at most ``CLOSE`` of their size, however written; members below
 ``DEPTH`` belong to their parent's value; further columns are ignored.
 """
 
@@ -38,6 +38,8 @@ from normforge.session import stored
 
 #: Cost of adding or deleting a node, of another parent, of another type, and part of a field's cost that a member has.
 ADD, DELETE, MOVE, RETYPE, MEMBER = 0.6, 0.6, 0.3, 0.2, 0.5
+#: Part of a number by which it may change where a node carries it on.
+CLOSE = 0.002
 #: Levels of members below the fields.
 DEPTH = 4
 #: File numbers in a block of the search for the preceding file.
@@ -227,7 +229,7 @@ class Edits:
 
 
 def comparable(kind: Column, value: Column) -> Column:
-    """Text by which values are compared: of numbers their value, of others their JSON."""
+    """Text by which values are told from each other: of numbers their value, of others their JSON."""
     number = value.try_cast("decimal(38,12)").cast("string")
     plain = F.regexp_replace(F.regexp_replace(number, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.when(kind == "number", F.concat(F.lit("#"), F.coalesce(plain, value))).otherwise(value)
@@ -241,12 +243,14 @@ def carried_shares(rows: DataFrame, gone: DataFrame, came: DataFrame) -> DataFra
 
     def values(fields: DataFrame, name: str) -> DataFrame:
         at = rows.where("product_id is not null").withColumnRenamed("file_seq", "at_seq").join(fields, ["feed", "at_seq", "path"])
-        return at.groupBy("feed", "file_seq", "product_id", F.col("path").alias(name)).agg(F.min(F.xxhash64(comparable(F.col("json_type"), F.col("value")))).alias(f"{name}_value"))
+        return at.groupBy("feed", "file_seq", "product_id", F.col("path").alias(name)).agg(F.min(F.xxhash64(comparable(F.col("json_type"), F.col("value")))).alias(f"{name}_value"), F.min(F.when(F.col("json_type") == "number", F.col("value").try_cast("double"))).alias(f"{name}_number"))
 
     old, new = values(gone, "old"), values(came, "new")
     met = stored(old.join(new, ["feed", "file_seq", "product_id"]).drop("product_id"))
     key = ["feed", "file_seq", "old", "new"]
-    agreed = met.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("old_value") == F.col("new_value")).alias("same"))
+    x, y = F.col("old_number"), F.col("new_number")
+    equal = (F.col("old_value") == F.col("new_value")) | F.coalesce(F.abs(x - y) <= CLOSE * F.greatest(F.abs(x), F.abs(y)), F.lit(False))
+    agreed = met.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_if(equal).alias("same"))
     of_old = met.groupBy(*key, F.col("old_value").alias("v")).agg(F.count(F.lit(1)).alias("a"))
     of_new = met.groupBy(*key, F.col("new_value").alias("v")).agg(F.count(F.lit(1)).alias("b"))
     chance = of_old.join(of_new, [*key, "v"]).groupBy(*key).agg(F.sum(F.col("a") * F.col("b")).cast("double").alias("ab"))

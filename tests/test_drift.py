@@ -130,8 +130,10 @@ def test_nested_changes_of_a_file_and_their_projection(spark):
     assert sorted((r.file_seq, r.vendor) for r in out.collect()) == sorted((s, n) for s in (1, 2) for n in names)
 
 
-def test_numbers_are_compared_exactly(spark):
+def test_numbers_are_compared_by_value(spark):
     df = table(spark, [(1, records(old=[3.2, 4.5, 5.25, 6, 7, 8])), (2, records(new=[3.9, 4.1, 5.75, 6.5, 7.5, 8.5]))])
     assert {c[2] for c in changes(df)} == {"added", "removed"}
     df = table(spark, [(1, records(old=[3.2, 4.5, 5.25, 6, 7, 8])), (2, records(new=[3.20, 4.50, 5.25, 6.0, 7.0, 8.0]))])
     assert changes(df) == [(102, "old", "renamed", "new")]
+    df = table(spark, [(1, records(old=[1775, 1631.5, 3668, 4944, 1731, 2157])), (2, records(new=[1775.5, 1631, 3668.5, 4944, 1731.5, 2157.5]))])
+    assert changes(df) == [(102, "old", "renamed", "new")]
