@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normforge.operators.nested import flatten_records
+from normforge.operators.nested import buffers, records
 
 LEAF_SHAPE = {"": {"branches[]": "branch", "full_product_names[]": "full_product_name"}, "branch": {"branches[]": "branch"}}
 
@@ -25,32 +27,49 @@ def flatten(df: DataFrame, key: str, tree: str = "product_tree") -> DataFrame:
     ``branches`` gives a row, its ``attrs`` being the category -> name pairs on the way to it, the
     inner of equal categories winning. An empty ``branches`` list gives no row.
 
-    The records of all trees are found by the structural index; the categories of the branches
-    around a leaf are then gathered by joining each leaf with the prefixes of its own path, so
-    trees of any depth take one join and no recursion.
+    The records of all trees are found by the structural index, each with its own text only, and a
+    leaf gathers the categories on its path where it stands: one pass, no row moves.
     """
-    nodes = flatten_records(df, key, tree, LEAF_SHAPE)
-    named = df.where(F.get_json_object(F.col(tree), "$.full_product_names").isNotNull()).select(F.col(key).alias("_k")).distinct()
-    full = nodes.where("node_kind = 'full_product_name'").select(
-        key, "node_path", F.create_map().cast("map<string,string>").alias("attrs"), F.lit(None).cast("string").alias("full_product_name_branch"),
-        F.get_json_object("node_text", "$.product_id").alias("product_id"), F.get_json_object("node_text", "$.name").alias("full_product_names"),
-    )
-    branches = nodes.where("node_kind = 'branch'").join(named, nodes[key] == named["_k"], "left_anti")
-    own = branches.select(
-        key, "node_path", F.coalesce(F.get_json_object("node_text", "$.category"), F.lit("")).alias("category"), F.coalesce(F.get_json_object("node_text", "$.name"), F.lit("")).alias("name"),
-        F.get_json_object("node_text", "$.branches").isNull().alias("leaf"), F.get_json_object("node_text", "$.product").alias("product"),
-    )
-    steps = F.split(F.substring("node_path", 2, 1 << 30), "/")
-    above = F.transform(F.sequence(F.lit(2), F.size(steps), F.lit(2)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, n), "/")))
-    leaves = own.where("leaf").select(key, F.col("node_path").alias("leaf_path"), F.explode(above).alias("node_path"))
-    gathered = leaves.join(own.select(key, "node_path", "category", "name"), [key, "node_path"]).groupBy(key, "leaf_path").agg(F.sort_array(F.collect_list(F.struct(F.length("node_path").alias("n"), "category", "name"))).alias("way"))
-    # later entries win, as the session's map policy is LAST_WIN; without it, the last of equal categories is kept here
-    way = F.filter("way", lambda x: ~F.exists("way", lambda y: (y["category"] == x["category"]) & (y["n"] > x["n"])))
-    attrs = F.map_from_entries(F.transform(way, lambda x: F.struct(x["category"], x["name"])))
-    out = own.where("leaf").join(gathered.select(key, F.col("leaf_path").alias("node_path"), attrs.alias("attrs")), [key, "node_path"])
-    of_product = lambda f: F.when(F.col("product").isNotNull(), F.coalesce(F.get_json_object("product", f"$.{f}"), F.lit("")))
-    rows = out.select(key, "node_path", "attrs", of_product("name").alias("full_product_name_branch"), of_product("product_id").alias("product_id"), F.lit(None).cast("string").alias("full_product_names"))
-    return rows.unionByName(full)
+    given = F.get_json_object(F.col(tree), "$.full_product_names").isNotNull()
+    source = df.select(F.col(key).alias("record_key"), F.col(tree).cast("string").alias("record_text"), given.alias("given")).where("record_text is not null")
+    key_type = dict(source.dtypes)["record_key"]
+    names = [key, "node_path", "attrs", "full_product_name_branch", "product_id", "full_product_names"]
+    schema = f"`{key}` {key_type}, node_path string, attrs map<string,string>, full_product_name_branch string, product_id string, full_product_names string"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, listed = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
+            for low, high in buffers(texts):
+                which, (paths, parents, kinds, own) = records(texts[low:high], LEAF_SHAPE, alone=True)
+                at, rows, seen = [], [], {}
+                # a parent comes before its children, as levels are found one after the other
+                for doc, path, parent, kind, text in zip((which + low).tolist(), paths, parents, kinds, own, strict=True):
+                    node = json.loads(text, strict=False)
+                    node = node if isinstance(node, dict) else {}
+                    if kind == "full_product_name":
+                        at.append(doc)
+                        rows.append((path, {}, None, _text(node.get("product_id")), _text(node.get("name"))))
+                    elif not listed[doc]:
+                        attrs = {**seen.get((doc, parent), {}), _text(node.get("category")) or "": _text(node.get("name")) or ""}
+                        seen[doc, path] = attrs
+                        if node.get("branches") is None:
+                            product = node.get("product")
+                            found = product if isinstance(product, dict) else {}
+                            of = [None, None] if product is None else [_text(found.get(f)) or "" for f in ("name", "product_id")]
+                            at.append(doc)
+                            rows.append((path, attrs, *of, None))
+                if at:
+                    columns = list(zip(*rows, strict=True))
+                    maps = pa.array([list(m.items()) for m in columns[1]], pa.map_(pa.string(), pa.string()))
+                    texts_of = [pa.array(c, pa.string()) for c in (columns[0], *columns[2:])]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), texts_of[0], maps, *texts_of[1:]], names)
+
+    return source.mapInArrow(work, schema)
+
+
+def _text(value: object) -> str | None:
+    """A JSON value as text: strings as they are, others as JSON."""
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
 def conformed(flat: DataFrame, columns: Sequence[str]) -> DataFrame:

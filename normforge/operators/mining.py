@@ -12,6 +12,10 @@ from normforge.functions.text import strip
 from normforge.sources.config import MinerConfig
 
 
+#: Pieces of corpus words that are broadcast at most, some 50 bytes each.
+PIECES = 300_000
+
+
 def _rules(config: MinerConfig, category: str, vendor: str) -> list[tuple[bool, tuple[str, ...]]]:
     """(is a list, patterns) by vendor, in order, without empty ones."""
     rules = config.patterns[category]
@@ -120,8 +124,10 @@ def match_levenshtein(df: DataFrame, key: str, column: str, corpus: DataFrame, c
 
     Equal corpus words are compared once. A window within the threshold shares a piece of the word
     with it, word cut into k + 1 pieces for k edits, and there the piece is shifted by k letters at
-    most. So texts and words meet on pieces by an equi-join instead of all pairs, only the windows
-    that a shared piece allows are compared, and no corpus size is assumed.
+    most. So texts and words meet on pieces by an equi-join instead of all pairs, and only the windows
+    that a shared piece allows are compared. Up to ``PIECES`` pieces are broadcast, and windows are
+    compared where the text stands; more are shuffled, as are then the places in texts, once each.
+    Both ways give the same.
     """
     words = corpus_cells(corpus, config, vendor).groupBy("attribute", "word").agg(F.min("row_pos").alias("row_pos"))
     n = F.length("word")
@@ -133,11 +139,16 @@ def match_levenshtein(df: DataFrame, key: str, column: str, corpus: DataFrame, c
     texts = df.select(F.col(key).alias("_key"), text.alias("_text")).where("_text is not null")
     sizes = [r.piece_len for r in pieces.select("piece_len").distinct().collect()]  # no more than the longest word has letters
     grams = F.flatten(F.array(*[_grams(F.col("_text"), k) for k in sizes])) if sizes else F.array().cast("array<struct<piece:bigint,at:int>>")
-    met = texts.select("_key", F.inline(grams)).join(pieces, "piece")
     starts = F.sequence(F.col("at") - F.col("ahead") - F.col("edits"), F.col("at") - F.col("ahead") + F.col("edits"))
-    places = met.select("_key", "attribute", "word", "row_pos", F.explode(starts).alias("pos")).where("pos >= 1").distinct()
+    if pieces.limit(PIECES + 1).count() <= PIECES:
+        met = texts.select("_key", "_text", F.inline(grams)).join(F.broadcast(pieces), "piece")
+        places = met.select("_key", "_text", "attribute", "word", "row_pos", F.explode(starts).alias("pos"))
+    else:
+        met = texts.select("_key", F.inline(grams)).join(pieces, "piece")
+        places = met.select("_key", "attribute", "word", "row_pos", F.explode(starts).alias("pos")).where("pos >= 1").distinct().join(texts, "_key")
     part = F.substring(F.col("_text"), F.col("pos"), n)
-    scored = places.join(texts, "_key").where(F.col("pos") + n - 1 <= F.length("_text")).select("_key", "attribute", "row_pos", F.struct("pos", part.alias("part"), (1 - F.levenshtein(part, F.col("word")) / n).alias("sim")).alias("w"))
-    windows = scored.where(F.col("w.sim") >= threshold)
+    between = F.call_function("levenshtein", part, F.col("word"), edits)  # -1 if there are more edits than allowed
+    scored = places.where((F.col("pos") >= 1) & (F.col("pos") + n - 1 <= F.length("_text"))).select("_key", "attribute", "row_pos", "pos", part.alias("part"), between.alias("d"), n.alias("n")).where("d >= 0")
+    windows = scored.select("_key", "attribute", "row_pos", F.struct("pos", "part", (1 - F.col("d") / F.col("n")).alias("sim")).alias("w")).where(F.col("w.sim") >= threshold)
     best = windows.groupBy("_key", "attribute").agg(F.max_by(F.struct("w.part", "w.sim"), F.struct(F.col("w.sim"), -F.col("row_pos"), -F.col("w.pos"))).alias("b"))
     return best.select(F.col("_key").alias(key), "attribute", strip(F.col("b.part")).alias("value"), F.col("b.sim").alias("similarity"))

@@ -162,20 +162,26 @@ class Layout:
         return np.where(filled, high - low + 1, 0), low
 
 
-def records(texts: list[bytes], shape: dict[str, dict[str, str]], with_text: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(number of the text, [path, path of the parent, kind, text of the record]) of each listed record."""
+def records(texts: list[bytes], shape: dict[str, dict[str, str]], with_text: bool = True, alone: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(number of the text, [path, path of the parent, kind, text of the record]) of each listed record.
+
+    With ``alone`` the text has an empty list in place of a list of further records, so that the texts
+    of a tree are together no longer than the tree.
+    """
     steps, kinds, elements = compiled(shape)
     x = Layout(texts)
     state = np.full(len(x.at), -1, np.int64)
     path, above = np.full(len(x.at), None, object), np.full(len(x.at), None, object)
-    docs, out = [], [[], [], [], []]
+    docs, out, spans, inner = [], [[], [], [], []], [], []
 
     def emit(doc, paths, parents, kind, starts, stops):
         docs.append(doc)
         out[0].append(paths)
         out[1].append(parents)
         out[2].append(np.full(len(doc), kind, object))
-        if with_text:
+        if alone:
+            spans.append((starts, stops))
+        elif with_text:
             out[3].append(np.fromiter((x.text[a:z].strip().decode("utf-8", "replace") for a, z in zip(starts, stops, strict=True)), object, len(doc)))
 
     levels = x.level[x.open_tokens] if len(x.open_tokens) else np.empty(0, np.int64)
@@ -216,6 +222,8 @@ def records(texts: list[bytes], shape: dict[str, dict[str, str]], with_text: boo
                 above[t] = path[t]
             element = elements.get(after)
             if array and kinds[element]:
+                if alone:
+                    inner.append((x.at[t], x.at[x.close[t]] + 1))
                 count, low = x.sizes(t)
                 which = np.repeat(np.arange(len(t)), count)
                 place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
@@ -228,9 +236,29 @@ def records(texts: list[bytes], shape: dict[str, dict[str, str]], with_text: boo
                 emit(x.doc[t][which], path[t][which] + "/" + place.astype(str).astype(object), above[t][which], kinds[element], starts, stops)
     if not docs:
         return np.empty(0, np.int64), [np.empty(0, object)] * 4
+    if alone:
+        # the first list of records inside a record is its own, further ones lie inside that
+        starts, stops = (np.concatenate([p[i] for p in spans]) for i in (0, 1))
+        begin, end = (np.concatenate([p[i] for p in inner]) if inner else np.empty(0, np.int64) for i in (0, 1))
+        order = np.argsort(begin)
+        begin, end = np.append(begin[order], len(x.b) + 1), np.append(end[order], len(x.b) + 1)
+        at = np.searchsorted(begin, starts)
+        text = (x.text[a:b] + b"[]" + x.text[c:z] if b < z else x.text[a:z] for a, z, b, c in zip(starts, stops, begin[at], end[at], strict=True))
+        out[3] = [np.fromiter((t.strip().decode("utf-8", "replace") for t in text), object, len(starts))]
     return np.concatenate(docs), [np.concatenate(c) if c else np.empty(0, object) for c in out]
 
 
+def buffers(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are indexed together."""
+    low = size = 0
+    for high, raw in enumerate([*texts, None]):
+        if high == len(texts) or (size and size + len(raw or b"") > BUFFER_BYTES):
+            if high > low:
+                yield low, high
+            low, size = high, 0
+        size += len(raw or b"")
+
+
 def flatten_records(df: DataFrame, key: str, text: str, shape: dict[str, dict[str, str]] = PRODUCT_TREE_SHAPE, with_text: bool = True) -> DataFrame:
     """One row per listed record: the key, ``node_path`` (JSON pointer), ``parent_path``, ``node_kind`` and, if wanted, ``node_text``.
 
@@ -244,16 +272,11 @@ def flatten_records(df: DataFrame, key: str, text: str, shape: dict[str, dict[st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            low = size = 0
-            for high, raw in enumerate([*texts, None]):
-                if raw is None or (size and size + len(raw) > BUFFER_BYTES):
-                    if high > low:
-                        which, columns = records(texts[low:high], shape, with_text)
-                        if len(which):
-                            keys = batch.column(0).take(pa.array(which + low))
-                            arrays = [pa.array(c, pa.string()) for c in columns[: 4 if with_text else 3]]
-                            yield pa.RecordBatch.from_arrays([keys, *arrays], [key, "node_path", "parent_path", "node_kind", "node_text"][: 1 + len(arrays)])
-                    low, size = high, 0
-                size += len(raw or b"")
+            for low, high in buffers(texts):
+                which, columns = records(texts[low:high], shape, with_text)
+                if len(which):
+                    keys = batch.column(0).take(pa.array(which + low))
+                    arrays = [pa.array(c, pa.string()) for c in columns[: 4 if with_text else 3]]
+                    yield pa.RecordBatch.from_arrays([keys, *arrays], [key, "node_path", "parent_path", "node_kind", "node_text"][: 1 + len(arrays)])
 
     return source.mapInArrow(work, schema)

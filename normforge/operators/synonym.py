@@ -35,13 +35,31 @@ def attribute_named(words: DataFrame, name: str) -> str | None:
     return hits[0].attribute if len(hits) == 1 else None
 
 
+def _tokens(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0)))
+
+
+def _beginnings(c: Column) -> Column:
+    """Every substring of up to three letters."""
+    c = F.lower(c)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*[F.substring(c, i, F.lit(n)) for n in (1, 2, 3)]))))
+
+
+def _longest(c: Column) -> Column:
+    """The longest word, the first of equals; null if there is none."""
+    return F.array_max(F.transform(_tokens(c), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+
 def resolve(df: DataFrame, column: str, words: DataFrame, attribute: str | None = None, literal: bool = True, out: str = "master", vendor: VendorConfig | None = None) -> DataFrame:
     """Adds the master words of each value, ', '-joined in dictionary order; '' if none.
 
     A value that is an alias of one attribute gives the attribute's name, of several their names.
-    Distinct values are looked up once. Words are matched as such unless ``literal`` is false,
-    which reads values as regular expressions. With ``vendor`` and the attribute Manufacturer the
-    value is cleaned first. A dictionary of over ``SMALL`` cells is not broadcast.
+    Distinct values are looked up once. A value stands in a cell only if its longest word does, so
+    values and cells meet on words by an equi-join and are verified then; in the cells of aliases,
+    where parts of words count, and for values without a word they meet on the first letters.
+    Unless ``literal`` is true values are read as regular expressions, which can't be looked up by
+    a key; the dictionary may then have ``SMALL`` cells at most. With ``vendor`` and the attribute
+    Manufacturer the value is cleaned first.
     """
     chosen = attribute_named(words, attribute) if attribute else None
     if chosen:
@@ -53,9 +71,17 @@ def resolve(df: DataFrame, column: str, words: DataFrame, attribute: str | None
     pattern = F.concat(F.lit("(?iuU)\\b\\Q"), F.col("_q"), F.lit("\\E\\b")) if literal else F.concat(F.lit("(?iuU)\\b"), F.col("_q"), F.lit("\\b"))
     inside = F.contains(F.lower("cell"), F.lower("_q"))
     cells = words.where("cell != 'N/A'")
-    if cells.limit(SMALL + 1).count() <= SMALL:
-        cells = F.broadcast(cells)
-    hits = keyed.where("_q != ''").select("_q").distinct().join(cells, (inside if literal else F.lit(True)) & (F.regexp_like(F.col("cell"), pattern) | ((F.col("master") == "alias") & inside)), "inner")
+    asked = keyed.where("_q != ''").select("_q").distinct()
+    if literal:
+        by_word = asked.withColumn("k", _longest(F.col("_q"))).where("k is not null").join(cells.withColumn("k", F.explode(_tokens(F.col("cell")))), "k")
+        start = F.substring(F.lower("_q"), 1, 3)
+        odd = asked.withColumn("k", start).withColumn("wordless", _longest(F.col("_q")).isNull())
+        by_start = odd.join(cells.withColumn("k", F.explode(_beginnings(F.col("cell")))), "k").where("wordless or master = 'alias'").drop("wordless")
+        hits = by_word.unionByName(by_start).drop("k").distinct().where(inside & (F.regexp_like(F.col("cell"), pattern) | (F.col("master") == "alias")))
+    else:
+        if cells.limit(SMALL + 1).count() > SMALL:
+            raise ValueError(f"regular expressions are looked up in dictionaries of at most {SMALL} cells")
+        hits = asked.join(F.broadcast(cells), F.regexp_like(F.col("cell"), pattern) | ((F.col("master") == "alias") & inside), "inner")
     hits = hits.withColumn("whole", F.regexp_like(F.col("cell"), pattern))
     alias = F.col("master") == "alias"
     found = hits.groupBy("_q").agg(

@@ -31,7 +31,8 @@ CORPUS = MinerConfig(patterns={})
 #: White space and word characters for engines whose classes are ASCII only.
 W = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 L = r"[\p{L}\p{N}\p{M}_]"
-ASCII = r"[^\x00-\x7F]"
+#: Letters beyond ASCII in the tables that are compared by edits, one control character for each in engines that count bytes.
+WIDE = "äöüÄÖÜßéèêàâçîôû©®"
 
 
 def _products(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,15 +117,13 @@ def mine_regex_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mine_levenshtein_window(spark: SparkSession, folder: str) -> DataFrame:
-    text, word = (F.regexp_replace(c, ASCII, "?") for c in ("product_name", "product_family"))
-    windows = mining.similar_windows(text, word, 0.85)
+    windows = mining.similar_windows(F.col("product_name"), F.col("product_family"), 0.85)
     return _products(spark, folder).select("row_id", F.coalesce(F.size(windows), F.lit(0)).cast("long").alias("hits"), F.array_max(F.transform(windows, lambda w: w["sim"])).alias("best"))
 
 
 def mine_levenshtein_best(spark: SparkSession, folder: str) -> DataFrame:
     corpus = table(spark, folder, "canonical_families").select(F.col("family_id").cast("int").alias("row_pos"), F.col("family_name").alias("device_family"))
-    texts = _devices(spark, folder).select("device_id", F.regexp_replace("annotation", ASCII, "?").alias("annotation"))
-    return mining.match_levenshtein(texts, "device_id", "annotation", corpus, MINER).select("device_id", "value", "similarity")
+    return mining.match_levenshtein(_devices(spark, folder).select("device_id", "annotation"), "device_id", "annotation", corpus, MINER).select("device_id", "value", "similarity")
 
 
 def mine_levenshtein_devices(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,24 +140,6 @@ def _dictionary(spark: SparkSession, folder: str) -> DataFrame:
     return spell.frequencies(table(spark, folder, "canonical_families"), by_word=["family_name"]).select("word", "cnt")
 
 
-def _typed_words(spark: SparkSession, folder: str) -> DataFrame:
-    texts = table(spark, folder, "string_normalization").where(r"product_family rlike '^[A-Za-z0-9 ]+$'").select("product_family").distinct()
-    return texts.select(F.explode(F.split("product_family", " ")).alias("word")).where("word != ''").distinct()
-
-
-def spell_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return spell.candidates(_typed_words(spark, folder), _dictionary(spark, folder)).select("word", "candidate", "cnt", "distance")
-
-
-def spell_best(spark: SparkSession, folder: str) -> DataFrame:
-    return spell.best(_typed_words(spark, folder), _dictionary(spark, folder))
-
-
-def spell_split(spark: SparkSession, folder: str) -> DataFrame:
-    texts = table(spark, folder, "string_normalization").where(r"product_family rlike '^[A-Za-z0-9 ]+$'").select("product_family")
-    return spell.best_split(texts, "product_family", _dictionary(spark, folder))
-
-
 def _families(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "string_normalization").where("product_family is not null").select("product_family")
 
@@ -167,16 +148,15 @@ def _family_words(spark: SparkSession, folder: str) -> DataFrame:
     return _families(spark, folder).distinct().select(F.explode(F.split("product_family", r"(?U)\s+")).alias("word")).where("word != ''").distinct()
 
 
-def spell_candidates_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """As spell_candidates, over every family; DuckDB's distance is byte based, so without SQL."""
+def spell_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return spell.candidates(_family_words(spark, folder), _dictionary(spark, folder)).select("word", "candidate", "cnt", "distance")
 
 
-def spell_best_whole(spark: SparkSession, folder: str) -> DataFrame:
+def spell_best(spark: SparkSession, folder: str) -> DataFrame:
     return spell.best(_family_words(spark, folder), _dictionary(spark, folder))
 
 
-def spell_split_whole(spark: SparkSession, folder: str) -> DataFrame:
+def spell_split(spark: SparkSession, folder: str) -> DataFrame:
     return spell.best_split(_families(spark, folder), "product_family", _dictionary(spark, folder))
 
 
@@ -233,6 +213,12 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, {_q(f'^{W}+|{W}+$')}, '', 'g')"
 
 
+def _narrow(x: str) -> str:
+    """A text with one byte for each letter."""
+    codes = [c for c in range(1, 32) if c not in (9, 10, 11, 12, 13, 28, 29, 30, 31)]
+    return f"translate({x}, {_q(WIDE)}, {' || '.join(f'chr({c})' for c in codes[: len(WIDE)])})"
+
+
 def _masked(source: str) -> str:
     """Columns d0, d1, ... of the phrase deletion."""
     steps = [f"{source} AS d0"]
@@ -323,9 +309,9 @@ string_agg(attribute, ' , ' ORDER BY attr_pos) FILTER (WHERE master = 'alias' AN
 SELECT value, coalesce(CASE WHEN by_alias THEN attributes ELSE masters END, '') AS master FROM qs LEFT JOIN found USING (q)"""
 
 
-_TYPED = "SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(product_family, ' ')) AS w FROM string_normalization WHERE regexp_full_match(product_family, '[A-Za-z0-9 ]+')) WHERE w <> ''"
+_TYPED = f"SELECT DISTINCT w AS word FROM (SELECT unnest(string_split_regex(product_family, {_q(W + '+')})) AS w FROM string_normalization) WHERE w <> ''"
 _DICT = f"SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(family_name, {_q(f'{L}[\\p{{L}}\\p{{N}}\\p{{M}}_' + chr(39) + f']*{L}|{L}')})) AS word FROM canonical_families) GROUP BY word"
-_SPELL = f"""WITH asked AS ({_TYPED}), known AS ({_DICT}), pairs AS (SELECT a.word, k.word AS candidate, cnt, damerau_levenshtein(a.word, k.word) AS distance FROM asked a JOIN known k ON abs(length(a.word) - length(k.word)) <= 2 WHERE damerau_levenshtein(a.word, k.word) <= 2),
+_SPELL = f"""WITH asked AS ({_TYPED}), known AS ({_DICT}), pairs AS (SELECT a.word, k.word AS candidate, cnt, damerau_levenshtein({_narrow('a.word')}, {_narrow('k.word')}) AS distance FROM asked a JOIN known k ON abs(length(a.word) - length(k.word)) <= 2 WHERE damerau_levenshtein({_narrow('a.word')}, {_narrow('k.word')}) <= 2),
 tier AS (SELECT word, candidate, cnt, distance FROM pairs QUALIFY distance = min(distance) OVER (PARTITION BY word)),
 best AS (SELECT a.word, coalesce(arg_min(candidate, struct_pack(n := -cnt, c := candidate)), '') AS best FROM asked a LEFT JOIN tier t ON a.word = t.word GROUP BY a.word)"""
 _TREE = f"""WITH RECURSIVE trees AS (SELECT file_id, product_tree::JSON AS j FROM process_csaf_files WHERE json_valid(product_tree) AND json_type(product_tree::JSON) = 'OBJECT' AND (product_tree::JSON -> 'full_product_names') IS NULL),
@@ -341,7 +327,6 @@ def _category(c: str) -> str:
     return f"names[len(cats) - list_position(list_reverse(cats), {_q(c)}) + 1] AS {c}"
 
 
-_ASC = "[^\\x{0}-\\x{7F}]"
 _WINDOW = "list_transform(range(1, greatest(length(t) - length(w) + 2, 1)), lambda i: 1 - levenshtein(substring(t, i, length(w)), w) / length(w))"
 SQL: dict[str, str] = {
     "vendor_normalize": _VENDOR_SQL,
@@ -367,19 +352,19 @@ SELECT row_id, array_to_string(list_filter(string_split(vm, ', '), lambda x, i:
         + " SELECT value, regexp_replace(string_agg(c, ', ' ORDER BY pos), '(, ){2}', ', ', 'g') AS j FROM post GROUP BY value)", "Manufacturer", "cleaned"),
     "mine_regex_exact": """SELECT device_id, coalesce(nullif(regexp_extract(annotation, '(?i)\\b(?:CPU|drive unit|controller)\\b', 0), ''), nullif(regexp_extract(annotation, '(?i)[A-Z]{3}-\\d{4}-[A-Z]', 0), ''), nullif(regexp_extract(annotation, '(?i)[A-Z]{3} \\d{4}-[A-Z]', 0), '')) AS device_type,
 nullif(regexp_extract(annotation, '(?i)V ?\\d+\\.\\d+(?:\\.\\d+)?', 0), '') AS version, nullif(regexp_extract(annotation, '\\d{2}[-.:]\\d{4}[-.:]\\d{4}', 0), '') AS article FROM string_miner""",
-    "mine_levenshtein_window": f"""WITH s AS (SELECT row_id, regexp_replace(product_name, {_q(_ASC)}, '?', 'g') AS t, regexp_replace(product_family, {_q(_ASC)}, '?', 'g') AS w FROM string_normalization),
+    "mine_levenshtein_window": f"""WITH s AS (SELECT row_id, {_narrow('product_name')} AS t, {_narrow('product_family')} AS w FROM string_normalization),
 x AS (SELECT row_id, CASE WHEN length(w) > 0 THEN list_filter({_WINDOW}, lambda v: v >= 0.85) ELSE [] END AS sims FROM s)
 SELECT row_id, coalesce(len(sims), 0)::BIGINT AS hits, list_max(sims) AS best FROM x""",
-    "mine_levenshtein_best": f"""WITH t AS (SELECT device_id, regexp_replace(annotation, {_q(_ASC)}, '?', 'g') AS t FROM string_miner WHERE annotation IS NOT NULL),
-p AS (SELECT device_id, t, family_name AS w, family_id AS pos, unnest(range(1, greatest(length(t) - length(family_name) + 2, 1))) AS i FROM t CROSS JOIN canonical_families),
-s AS (SELECT device_id, substring(t, i, length(w)) AS part, pos, i, 1 - levenshtein(substring(t, i, length(w)), w) / length(w) AS sim FROM p)
+    "mine_levenshtein_best": f"""WITH t AS (SELECT device_id, annotation AS t, {_narrow('annotation')} AS b FROM string_miner WHERE annotation IS NOT NULL),
+p AS (SELECT device_id, t, b, family_name AS w, family_id AS pos, unnest(range(1, greatest(length(t) - length(family_name) + 2, 1))) AS i FROM t CROSS JOIN (SELECT family_id, {_narrow('family_name')} AS family_name FROM canonical_families) f),
+s AS (SELECT device_id, substring(t, i, length(w)) AS part, pos, i, 1 - levenshtein(substring(b, i, length(w)), w) / length(w) AS sim FROM p)
 SELECT device_id, {_strip('arg_max(part, struct_pack(s := sim, p := -pos, i := -i))')} AS value, max(sim) AS similarity FROM s WHERE sim >= 0.85 GROUP BY device_id""",
     "word_frequencies": f"""SELECT word, count(*) AS cnt FROM (SELECT {_strip('manufacturer')} AS word FROM string_miner UNION ALL SELECT unnest(string_split_regex({_strip('manufacturer')}, {_q(W + '+')})) FROM string_miner
 UNION ALL SELECT unnest(string_split_regex({_strip('device_family')}, {_q(W + '+')})) FROM string_miner UNION ALL SELECT unnest(regexp_extract_all(device_family, {_q(f"{L}[\\p{{L}}\\p{{N}}\\p{{M}}_']*{L}|{L}")})) FROM string_miner) WHERE word IS NOT NULL AND word <> '' GROUP BY word""",
     "spell_candidates": f"{_SPELL} SELECT word, candidate, cnt, distance FROM tier",
     "spell_best": f"{_SPELL} SELECT word, best FROM best",
-    "spell_split": f"""{_SPELL}, texts AS (SELECT DISTINCT product_family FROM string_normalization WHERE regexp_full_match(product_family, '[A-Za-z0-9 ]+')),
-parts AS (SELECT product_family, unnest(list_filter(string_split_regex(product_family, ' +'), lambda x: x <> '')) AS word, unnest(range(len(list_filter(string_split_regex(product_family, ' +'), lambda x: x <> '')))) AS pos FROM texts),
+    "spell_split": f"""{_SPELL}, texts AS (SELECT DISTINCT product_family FROM string_normalization WHERE product_family IS NOT NULL),
+parts AS (SELECT product_family, unnest(list_filter(string_split_regex(product_family, {_q(W + '+')}), lambda x: x <> '')) AS word, unnest(range(len(list_filter(string_split_regex(product_family, {_q(W + '+')}), lambda x: x <> '')))) AS pos FROM texts),
 fixed AS (SELECT product_family, bool_or(best = '') AS lost, string_agg(best, ' ' ORDER BY pos) AS best FROM parts JOIN best USING (word) GROUP BY product_family)
 SELECT product_family, CASE WHEN lost IS NULL OR lost THEN '' ELSE best END AS best FROM texts LEFT JOIN fixed USING (product_family)""",
     "tree_flatten": f"{_TREE} SELECT file_id, node_path, CASE WHEN (n -> 'product') IS NOT NULL THEN coalesce(n ->> '$.product.name', '') END AS full_product_name_branch, CASE WHEN (n -> 'product') IS NOT NULL THEN coalesce(n ->> '$.product.product_id', '') END AS product_id, "
@@ -397,6 +382,5 @@ FROM (SELECT file_id, product_tree::JSON AS j FROM process_csaf_files WHERE json
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     vendor_normalize, vendor_distinct_joinback, vendor_masked_phrases, vendor_audit, url_suffix_strip, product_special_chars, product_clean, version_extract, version_numeric, function_keywords, keyword_removal,
     synonym_lookup, synonym_alias, synonym_normalize, mine_regex_exact, mine_regex_fuzzy, mine_levenshtein_window, mine_levenshtein_best, mine_levenshtein_devices, word_frequencies, spell_candidates, spell_best, spell_split,
-    spell_candidates_whole, spell_best_whole, spell_split_whole,
     tree_flatten, tree_full_names, undefined_columns, data_source_url, advisory_status, union_by_name, corpus_unpivot, group_list_join, argmax_first,
 )}

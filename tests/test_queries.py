@@ -61,16 +61,20 @@ def test_spelling_over_every_family_equals_brute_force(spark, tmp_path):
     tiers = {w: {k: edits_between(w, k) for k in counts if edits_between(w, k) <= 2} for w in asked}
     near = {w: {k: d for k, d in c.items() if d == min(c.values())} for w, c in tiers.items()}
     best = {w: min(c, key=lambda k: (-counts[k], k), default="") for w, c in near.items()}
-    got = {name: entry.queries()[name](spark, str(tmp_path)).collect() for name in ("spell_candidates_whole", "spell_best_whole", "spell_split_whole")}
-    assert sorted(map(tuple, got["spell_candidates_whole"])) == sorted((w, k, counts[k], d) for w, c in near.items() for k, d in c.items())
-    assert {r.word: r.best for r in got["spell_best_whole"]} == best
+    got = {name: entry.queries()[name](spark, str(tmp_path)).collect() for name in ("spell_candidates", "spell_best", "spell_split")}
+    assert sorted(map(tuple, got["spell_candidates"])) == sorted((w, k, counts[k], d) for w, c in near.items() for k, d in c.items())
+    assert {r.word: r.best for r in got["spell_best"]} == best
     whole = {t: "" if not t.split() or "" in [best[w] for w in t.split()] else " ".join(best[w] for w in t.split()) for t in texts if t is not None}
-    assert {r.product_family: r.best for r in got["spell_split_whole"]} == whole and best["Ixostär"] == "Ixostär" and best["Velriizon-2000"] == ""
+    assert {r.product_family: r.best for r in got["spell_split"]} == whole and best["Ixostär"] == "Ixostär" and best["Velriizon-2000"] == ""
 
 
-def test_mining_with_the_device_corpus_equals_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("pieces", [300_000, 1])
+def test_mining_with_the_device_corpus_equals_brute_force(spark, tmp_path, monkeypatch, pieces):
+    from normforge.operators import mining
     from normforge.operators.mining import corpus_cells
 
+    monkeypatch.setattr(mining, "PIECES", pieces)
+
     rows = [
         (7, 0, "Robmuvault 200", "ABC-1234-X", "12-3456-7890", "scan: Robmuvalt 2000 ABC-1234-Y 12.3456.7890 ok"), (8, 1, "Velrizon 500", "DEF 5678-Q", None, "DFE 5678-Q and ABC-1234-X, 21-3456-7890"),
         (9, 2, "Velrizon 500", "", "6G19.8H46.25", "Velrízon 500 / 6G19 8H46.25"), (10, 3, None, "X1", "AB", None), (11, 4, "Ixostär", "x", None, "Ixostär"), (12, 5, None, None, None, ""),
@@ -97,3 +101,22 @@ def test_mining_with_the_device_corpus_equals_brute_force(spark, tmp_path):
                     want[k] = max(want.get(k, ()), (sim, -c.row_pos, -i, part.strip()))
     got = {(r.device_id, r.attribute): (r.value, r.similarity) for r in entry.queries()["mine_levenshtein_devices"](spark, str(tmp_path)).collect()}
     assert got == {k: (v[3], v[0]) for k, v in want.items()} and {a for _, a in got} == {"device_family", "device_type", "article_number"}
+
+
+def test_synonyms_meet_by_words_as_all_pairs_do(spark):
+    """Lookups by equi-join against a nested loop over values and cells, with odd values."""
+    import re
+
+    from normforge.operators import synonym
+
+    data = {"Role": {"alias": ["role", "device role", "R&D role"], "plc": ["CPU 315", "controller", "PLC"], "io": ["I/O module", "module x", "C++", "über-modul"]}, "Maker": {"alias": ["maker", "vendor"], "acme": ["ACME", "Acme Corp", "& Sons"], "none": None}}
+    words = synonym.dictionary(spark, data)
+    values = ["cpu", "CPU 315", "module", "mod", "le", "role", "ole", "O module", "&", "acme corp", "++", "ÜBER modul", "über", "", "x", "vendor", "zzz", "c", "i o module", "R"]
+    got = {r.value: r.master for r in synonym.resolve(spark.createDataFrame([(v,) for v in values], "value string"), "value", words).collect()}
+    cells = [(a, i, m, j, c) for a, i, m, j, c in map(tuple, words.collect()) if c != "N/A"]
+    for v in values:
+        q = re.sub(r"\s+", " ", re.sub(r"[)(,\-._/]", " ", v)).strip()
+        whole = [(a, i, m, j) for a, i, m, j, c in cells if q and re.search(rf"\b{re.escape(q)}\b", c, re.I)]
+        inside = sorted({(i, a) for a, i, m, j, c in cells if m == "alias" and q and q.lower() in c.lower()})
+        want = " , ".join(a for _, a in inside) if any(m == "alias" for _, _, m, _ in whole) else ", ".join(m for i, j, m in sorted((i, j, m) for _, i, m, j in whole if m != "alias"))
+        assert got[v] == want, v
