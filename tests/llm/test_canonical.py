@@ -40,6 +40,26 @@ def test_repair_finds_all_within_the_budget():
     from normforge.llm.names import budget, osa
 
     for word in ("lirrdimnot", "nordpaburn", "nordpabur", "kymuwal", "tamkard", "zzz"):
-        found = {w for w, _ in index.repair(word)}
+        found = {w for w, *_ in index.repair(word)}
         want = {w for w in index.posting if osa(word, w, 9) <= min(budget(word), budget(w))}
         assert want <= found
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    """Ids and scores' order are the same for a list in one block and in many."""
+    ref = spark.createDataFrame(VENDORS, "vendor_id long, vendor_name string, short_name string")
+    one = run(spark, NAMES, ref, "vendor_id", "vendor_name", "name", "short_name")
+    for size in (1, 2, 3):
+        monkeypatch.setattr(C, "INDEX_ROWS", size)
+        assert run(spark, NAMES, ref, "vendor_id", "vendor_name", "name", "short_name") == one
+    monkeypatch.setattr(C, "INDEX_ROWS", 1)
+    entries = C._entries(ref, "vendor_id", "vendor_name", "short_name")
+    whole = C.Index(VENDORS, "name")
+    for index in C.indexes(entries, "name"):
+        assert all(abs(whole.idf[w] - i) < 1e-12 for w, i in index.value.idf.items()) and index.value.top == whole.top
+
+
+def test_families_without_numbers(spark):
+    ref = spark.createDataFrame([(1, "Robmuvault", None), (2, "Velrizon 500", None), (3, "Ixostar Prime", None)], "family_id long, family_name string, vendor_id long")
+    values = {"Robmuvaul": 1, "Robmuvault series": 1, "Robmuvault 700": 0, "Lirrdimont Velrizon-500": 2, "Velrizon": 0, "500": 0, "Prime Ixostar": 3, "zzz": 0}
+    assert list(run(spark, values, ref, "family_id", "family_name", "family").values())[:8] == list(values.values())
