@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from normforge.llm import canonical, linkage, mixing, packing, spellings, stuffing, tokens
 from normforge.operators import multivalue
-from normforge.session import cut
+from normforge.session import stored
 from normforge.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _lengths(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, source, n_tokens), written once because packing and mixing read it several times."""
-    return cut(tokens.with_lengths(spread(table(spark, folder, "documents").select("doc_id", "source", "text")), "doc_id", "text", ("source",)))
+    return stored(tokens.with_lengths(spread(table(spark, folder, "documents").select("doc_id", "source", "text")), "doc_id", "text", ("source",)))
 
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
