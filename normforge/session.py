@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,8 +38,13 @@ def configured(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "normforge-checkpoints")
+    """The folder all executors share, from ``spark.checkpoint.dir``; only in local mode, as in tests, one of our own where that is unset."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "normforge-checkpoints")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -60,13 +66,3 @@ def _removed(spark: SparkSession, path: str) -> None:
         target.getFileSystem(conf).delete(target, True)
     except Exception:  # the session is gone; the folder's owner cleans up
         pass
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder.
-
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)

@@ -16,8 +16,11 @@ def read_advisories(spark: SparkSession, folder: str) -> DataFrame:
 
     status: ok, empty, bad_json or not_csaf; only files that are ok have all parts.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(folder)
-    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value"), F.try_parse_json("value").alias("v"))
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(folder)
+    # a file without bytes is not scanned, so its name is taken from the listing, which the driver holds anyway
+    listed = spark.createDataFrame([(f,) for f in read.inputFiles()], "path string")
+    texts = read.select(F.col("_metadata.file_path").alias("path"), "value")
+    files = listed.join(texts, "path", "left").select("path", F.coalesce("value", F.lit("")).alias("value")).withColumn("v", F.try_parse_json("value"))
 
     def part(name: str) -> Column:
         found = F.expr(f"variant_get(v, '$.{name}', 'variant')")

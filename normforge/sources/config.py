@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Folders that are searched, in order.
 SEARCH_PATH = (".", "../../data", "data")
@@ -41,15 +42,31 @@ def read_structured(path: str | Path) -> dict:
     return read_json(path) if str(path).endswith(".json") else read_yaml(path)
 
 
+#: What stands for no value in a CSV file.
+NO_VALUE = "n/a"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a header; all columns are text, blanks at the ends are kept, ``n/a`` is null and an empty field is empty text."""
+    options = {"header": True, "escape": '"', "multiLine": True, "nullValue": NO_VALUE, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df = spark.read.options(**options).csv(path)
+    return df.select(*[F.when(F.col(f"`{c}`") != NO_VALUE, F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
+def _numbered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds row_pos, from 0 in the order of the file, which for one file is the order of its splits."""
+    position = F.struct("_part", "_at")
+    marked = df.select(*columns, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    return marked.select((F.row_number().over(Window.orderBy(position)) - 1).cast("int").alias("row_pos"), *columns)
+
+
 def read_sheet(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """A device corpus as a table with row_pos: parquet or CSV; .xlsx where pandas can read it. Other endings are an error."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     if path.endswith(".csv"):
-        frame = None
-        import pandas as pd
-
-        frame = pd.read_csv(path, dtype=str, keep_default_na=False)
+        rows = read_table(spark, path)
+        return _numbered(rows, columns)
     elif path.endswith(".xlsx"):
         import pandas as pd
 
@@ -86,3 +103,12 @@ class MinerConfig:
     patterns: dict[str, dict[str, str | tuple[str, ...] | None]]
     search_columns: tuple[str, ...] = ("device_family", "device_type", "article_number")
     vendor_column: str = "manufacturer"
+
+    @classmethod
+    def load(cls, path: str | Path, categories: Sequence[str] | None = None, **others: object) -> MinerConfig:
+        """From a YAML or JSON collection {category: {vendor: pattern, list of patterns or null}}; of the given categories only, if any are given."""
+        found = read_structured(path)
+        missing = [c for c in categories or () if c not in found]
+        if missing:
+            raise KeyError(f"{path} has no category {', '.join(missing)}")
+        return cls({c: {v: tuple(p) if isinstance(p, list) else p for v, p in (found[c] or {}).items()} for c in categories or found}, **others)

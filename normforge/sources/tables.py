@@ -9,12 +9,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, rows_hint: str | None = None) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Spreads rows that arrive in fewer splits than there are cores, before costly work per row.
 
     One small file is one split; the exchange it costs here is of a few MB. Large inputs come
-    in many splits and are left as they are.
+    in many splits, by the optimizer's estimate of their size, and are left as they are.
     """
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(want) if size < want * split else df

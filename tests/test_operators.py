@@ -105,7 +105,7 @@ def test_advisory_files(spark, tmp_path):
     for name, text in {"ok.json": json.dumps(ok), "sub/bad.json": "{", "none.json": "{}", "null.json": json.dumps(ok | {"vulnerabilities": None}), "empty.json": "", "x.txt": "{}"}.items():
         (tmp_path / name).write_text(text)
     df = read_advisories(spark, str(tmp_path))
-    assert {r.path.rsplit("/", 1)[1]: r.status for r in df.collect()} | {"empty.json": "empty"} == {"ok.json": "ok", "bad.json": "bad_json", "none.json": "not_csaf", "null.json": "not_csaf", "empty.json": "empty"}
+    assert {r.path.rsplit("/", 1)[1]: r.status for r in df.collect()} == {"ok.json": "ok", "bad.json": "bad_json", "none.json": "not_csaf", "null.json": "not_csaf", "empty.json": "empty"}
     assert [r.u for r in valid(df).select(advisory.data_source(F.col("document")).alias("u")).collect()] == ["b.json"]
     docs = spark.createDataFrame([("{}",), ('{"references":[]}',), ('{"references":[{"url":"x"}]}',)], "document string")
     assert [r.u for r in docs.select(advisory.data_source(F.col("document")).alias("u")).collect()] == ["missing", None, None]
@@ -118,8 +118,13 @@ def test_configuration(spark, tmp_path):
         config.find_file("none.json", [str(tmp_path)])
     with pytest.raises(ValueError):
         config.read_sheet(spark, "corpus.txt", ["a"])
-    (tmp_path / "c.csv").write_text("manufacturer\nn/a\n")
-    assert [tuple(r) for r in config.read_sheet(spark, str(tmp_path / "c.csv"), ["manufacturer"]).collect()] == [(0, "n/a")]
+    (tmp_path / "c.csv").write_text('manufacturer,x\nn/a,1\n" a, b ",2\n,3\nn/a x,4\n"say ""hi""",5\n')
+    assert [tuple(r) for r in config.read_sheet(spark, str(tmp_path / "c.csv"), ["manufacturer"]).collect()] == [(0, None), (1, " a, b "), (2, ""), (3, "n/a x"), (4, 'say "hi"')]
+    (tmp_path / "m.json").write_text(json.dumps({"Version": {"any": r"V\\d+", "none": None}, "Type": {"a": ["x", "y"]}}))
+    assert MinerConfig.load(tmp_path / "m.json").patterns == {"Version": {"any": r"V\\d+", "none": None}, "Type": {"a": ("x", "y")}}
+    assert list(MinerConfig.load(tmp_path / "m.json", ["Type"]).patterns) == ["Type"]
+    with pytest.raises(KeyError):
+        MinerConfig.load(tmp_path / "m.json", ["Family"])
 
 
 def test_stream_equals_batch(spark, tmp_path):
