@@ -19,7 +19,8 @@ def read_advisories(spark: SparkSession, folder: str) -> DataFrame:
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(folder)
     # a file without bytes is not scanned, so its name is taken from the listing, which the driver holds anyway
     listed = spark.createDataFrame([(f,) for f in read.inputFiles()], "path string")
-    texts = read.select(F.col("_metadata.file_path").alias("path"), "value")
+    # file:/x and file:///x are one path
+    texts = read.select(F.regexp_replace(F.col("_metadata.file_path"), "^([a-z0-9]+):/(?!/)", "$1:///").alias("path"), "value")
     files = listed.join(texts, "path", "left").select("path", F.coalesce("value", F.lit("")).alias("value")).withColumn("v", F.try_parse_json("value"))
 
     def part(name: str) -> Column:

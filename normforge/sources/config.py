@@ -47,10 +47,10 @@ NO_VALUE = "n/a"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header; all columns are text, blanks at the ends are kept, ``n/a`` is null and an empty field is empty text."""
-    options = {"header": True, "escape": '"', "multiLine": True, "nullValue": NO_VALUE, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    """A CSV file with a header; all columns are text, blanks at the ends are kept, ``n/a`` and empty fields are null."""
+    options = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     df = spark.read.options(**options).csv(path)
-    return df.select(*[F.when(F.col(f"`{c}`") != NO_VALUE, F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return df.select(*[F.when(~F.col(f"`{c}`").isin(NO_VALUE, ""), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def _numbered(df: DataFrame, columns: Sequence[str]) -> DataFrame:

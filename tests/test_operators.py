@@ -29,6 +29,42 @@ def test_vendor(spark):
     assert got == list(cases.values())
 
 
+# Vendor names with the results they must have without a phrase list, and names that stay as they are.
+GOLDEN = {
+    " CP Plus": "CP Plus", "Qognify ": "Qognify", "Honeywell ": "Honeywell", "Baicells ": "Baicells", "Enphase ": "Enphase", "TEL-STER Sp. z o. o.": "TEL-STER Sp. z o. o", "FANUC ": "FANUC", "": "None",
+    "multiple trailer and brake manufacturers": "multiple trailer, brake manufacturers", "Johnson & Johnson": "Johnson Johnson", "Rittal ": "Rittal", "Keysight ": "Keysight", "Medtronic ": "Medtronic",
+    "Open Design Alliance (ODA)": "Open Design Alliance", "Panasonic ": "Panasonic",
+}
+KEPT = "Omron|Emerson|ABB|GE Digital|i.MX|LCDS - LeÃ£o Consultoria e Desenvolvimento de Sistemas Ltda ME|DrÃ¤ger|Opto 22|xArrow|Pepperl+Fuchs|mySCADA|Phoenix Contact|Aethon, ST Engineering|Red Lion, AutomationDirect|IDenticard|EZAutomation".split("|")
+
+
+def test_golden_vendors(spark):
+    want = GOLDEN | {k: k for k in KEPT}
+    assert column(spark, list(want), lambda c: vendor.normalized(c, BARE)) == list(want.values())
+
+
+# Lookups (value, attribute) with the master words they must give over a dictionary that has these names.
+LOOKUPS = [
+    ("Hersteller", None, "Manufacturer"), ("device role", None, "Device_Role"), ("device-role", None, "Device_Role"), ("LS", None, "LS Electric, LS industrial system"), ("ge", None, "GE digital, GE healthcare"), ("io device", None, ""),
+    ("SIEMENS", None, "Siemens, siemens energy"), ("Phoenix Contact GmbH", None, "Phoenix Contact"), ("PxC", None, "Phoenix Contact"), ("Asea Brown Boveri", None, "ABB"), ("Dräger", None, ""), ("SIEMENS", "Device Role", ""),
+    ("SIEMENS", "Manufacturer", "Siemens, siemens energy"), ("Phoenix Contact GmbH", "Manufacturer", "Phoenix Contact"), ("PxC", "Manufacturer", "Phoenix Contact"), ("Asea Brown Boveri", "Manufacturer", "ABB"), ("PLC", None, "RTU-PLC"),
+    ("SPS", None, "RTU-PLC"), ("Firewall", None, ""), ("switch", None, ""), ("bus coupler", None, ""), ("BK", None, ""), ("Human Machine Interface", None, "HMI-Field"), ("Domain-Controller", None, ""), ("SPS", "Device Role", "RTU-PLC"),
+    ("io device", "Device Role", ""), ("Firewall", "Device Role", ""), ("switch", "Device Role", ""), ("bus coupler", "Device Role", ""),
+]
+
+
+def test_golden_synonyms(spark):
+    data = {
+        "Manufacturer": {"alias": ["Hersteller", "vendor", "manufacturer"], "LS Electric": ["LS", "LSIS"], "LS industrial system": ["LS IS", "LS"], "GE digital": ["GE"], "GE healthcare": ["GE", "GE Medical"], "Siemens": ["Siemens AG"], "siemens energy": ["Siemens Gamesa"], "Phoenix Contact": ["PxC", "Phoenix Contact GmbH & Co. KG", "Phoenix Contact GmbH"], "ABB": ["Asea Brown Boveri"]},
+        "Device_Role": {"alias": ["device role", "Rolle"], "RTU-PLC": ["PLC", "SPS", "RTU"], "HMI-Field": ["HMI", "Human Machine Interface"]},
+    }
+    words = synonym.dictionary(spark, data)
+    for attribute in (None, "Device Role", "Manufacturer"):
+        want = {v: m for v, a, m in LOOKUPS if a == attribute}
+        got = synonym.resolve(spark.createDataFrame([(v,) for v in want], "v string"), "v", words, attribute, vendor=BARE).collect()
+        assert {r.v: r.master for r in got} == want
+
+
 def test_masked_deletion_looks_at_the_untouched_text(spark):
     assert column(spark, ["abc", "bb", None], lambda c: masked_delete(c, ["b", "ac"], "")) == ["ac", "", None]
 
@@ -118,8 +154,8 @@ def test_configuration(spark, tmp_path):
         config.find_file("none.json", [str(tmp_path)])
     with pytest.raises(ValueError):
         config.read_sheet(spark, "corpus.txt", ["a"])
-    (tmp_path / "c.csv").write_text('manufacturer,x\nn/a,1\n" a, b ",2\n,3\nn/a x,4\n"say ""hi""",5\n')
-    assert [tuple(r) for r in config.read_sheet(spark, str(tmp_path / "c.csv"), ["manufacturer"]).collect()] == [(0, None), (1, " a, b "), (2, ""), (3, "n/a x"), (4, 'say "hi"')]
+    (tmp_path / "c.csv").write_text('manufacturer,x\nn/a,1\n" a, b ",2\n"",3\nn/a x,4\n"say ""hi""",5\n')
+    assert [tuple(r) for r in config.read_sheet(spark, str(tmp_path / "c.csv"), ["manufacturer"]).collect()] == [(0, None), (1, " a, b "), (2, None), (3, "n/a x"), (4, 'say "hi"')]
     (tmp_path / "m.json").write_text(json.dumps({"Version": {"any": r"V\\d+", "none": None}, "Type": {"a": ["x", "y"]}}))
     assert MinerConfig.load(tmp_path / "m.json").patterns == {"Version": {"any": r"V\\d+", "none": None}, "Type": {"a": ("x", "y")}}
     assert list(MinerConfig.load(tmp_path / "m.json", ["Type"]).patterns) == ["Type"]
