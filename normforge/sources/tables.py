@@ -12,11 +12,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Spreads rows that arrive in fewer splits than there are cores, before costly work per row.
 
-    One small file is one split; the exchange it costs here is of a few MB. Large inputs come
-    in many splits, by the optimizer's estimate of their size, and are left as they are.
+    Files are cut into a split for each core unless a split would be smaller than the cost of
+    opening a file, so only small inputs are spread; the exchange it costs them is of a few MB.
     """
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(want) if size < want * split else df
+    leaf = df._jdf.queryExecution().analyzed().collectLeaves().head()
+    size = int(str(leaf.stats().sizeInBytes()))
+    return df.repartition(want) if size < want * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() else df
