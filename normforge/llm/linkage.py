@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import functools
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,17 +147,19 @@ class Shapes:
 
 
 def shape(column: Column) -> Column:
-    """Shape of a code as it is written, null if it has letters beyond the Latin ones or no digit."""
-    text = F.trim(column)
-    parts = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]", "\u0001"), "[A-Za-z]", "A"), "\u0001", "D")
-    parts = F.regexp_replace(F.regexp_replace(parts, r"[-_.:/=\s]+", "/"), "^/|/$", "")
-    return F.when(parts.rlike("^[AD/]+$") & parts.contains("D") & (F.length(parts) <= LONGEST), parts)
+    """Shape of a code as it is written."""
+    letters = string.ascii_letters
+    classes = F.translate(F.trim(column), string.digits + letters + "-_.:=\t ", "D" * 10 + "A" * len(letters) + "/" * 7)
+    return F.regexp_replace(classes, "//+", "/")
 
 
 def learnt(devices: DataFrame, columns: tuple[str, str]) -> Shapes:
     """Shapes that at least SHARE of the listings' codes have in each of the two columns, at most 1 / SHARE of each."""
     shapes = devices.select(F.posexplode(F.array(*[shape(F.col(c)) for c in columns])).alias("column", "s")).where("s is not null")
-    counted = stored(shapes.groupBy("column", "s").agg(F.count(F.lit(1)).alias("n")))
+    # words, and codes with letters beyond the Latin ones, have no shape to learn
+    coded = (F.translate("s", "AD/", "") == "") & F.col("s").contains("D") & (F.length("s") <= LONGEST)
+    counted = shapes.groupBy("column", "s").agg(F.count(F.lit(1)).alias("n")).where(coded)
+    counted = stored(counted.groupBy("column", F.trim(F.lit("/"), F.col("s")).alias("s")).agg(F.sum("n").alias("n")))
     all_of = {r.column: r.n for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}  # two rows
     # of the ways to write a code, the most frequent one with separators
     joined = counted.groupBy("column", F.translate("s", "/", "").alias("letters")).agg(F.sum("n").alias("n"), F.max_by("s", F.struct(F.when(F.col("s").contains("/"), F.col("n")).otherwise(0), "s")).alias("s"))
