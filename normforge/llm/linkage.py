@@ -159,7 +159,7 @@ def learnt(devices: DataFrame, columns: tuple[str, str]) -> Shapes:
     # words, and codes with letters beyond the Latin ones, have no shape to learn
     coded = (F.translate("s", "AD/", "") == "") & F.col("s").contains("D") & (F.length("s") <= LONGEST)
     counted = shapes.groupBy("column", "s").agg(F.count(F.lit(1)).alias("n")).where(coded)
-    counted = stored(counted.groupBy("column", F.trim(F.lit("/"), F.col("s")).alias("s")).agg(F.sum("n").alias("n")))
+    counted = stored(counted.groupBy("column", F.trim("s", F.lit("/")).alias("s")).agg(F.sum("n").alias("n")))
     all_of = {r.column: r.n for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}  # two rows
     # of the ways to write a code, the most frequent one with separators
     joined = counted.groupBy("column", F.translate("s", "/", "").alias("letters")).agg(F.sum("n").alias("n"), F.max_by("s", F.struct(F.when(F.col("s").contains("/"), F.col("n")).otherwise(0), "s")).alias("s"))
