@@ -51,4 +51,20 @@ def p6_products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_loaded, p4_found, p4_conformed, p5_found, p6_found, p6_products)}
-SQL: dict[str, str] = {}
+
+
+def _each(source: str, of: str, path: str) -> str:
+    """Positions in a JSON array."""
+    return f"{source}, range(coalesce(json_array_length({of}, '{path}'), 0)::BIGINT) r(i)"
+
+
+_NODES = f"""WITH RECURSIVE t AS (SELECT file_id, product_tree::JSON AS j FROM process_csaf_files WHERE json_valid(product_tree) AND json_type(product_tree::JSON) = 'OBJECT'),
+b(file_id, node_path, parent_path, n) AS (SELECT file_id, '/branches/' || i, '', (j -> 'branches') -> i::INT FROM {_each('t', 'j', '$.branches')}
+UNION ALL SELECT file_id, node_path || '/branches/' || i, node_path, (n -> 'branches') -> i::INT FROM {_each('b', 'n', '$.branches')}),
+h AS (SELECT file_id, node_path || '/product' AS node_path, node_path AS parent_path, 'product' AS node_kind, n -> 'product' AS n FROM b WHERE json_type(n -> 'product') = 'OBJECT'
+UNION ALL SELECT file_id, '/full_product_names/' || i, '', 'full_product_name', (j -> 'full_product_names') -> i::INT FROM {_each('t', 'j', '$.full_product_names')})"""
+SQL: dict[str, str] = {
+    "p6_found": f"""{_NODES} SELECT file_id, node_path, parent_path, 'branch' AS node_kind FROM b UNION ALL SELECT file_id, node_path, parent_path, node_kind FROM h
+UNION ALL SELECT file_id, node_path || '/product_identification_helper/model_numbers/' || i, node_path, 'model_number' FROM {_each('h', 'n', '$.product_identification_helper.model_numbers')}""",
+    "p6_products": f"{_NODES} SELECT file_id, node_path, parent_path, n ->> 'name' AS product_name, n ->> 'product_id' AS product_id FROM h",
+}
