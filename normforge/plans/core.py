@@ -63,7 +63,15 @@ b(file_id, node_path, parent_path, n) AS (SELECT file_id, '/branches/' || i, '',
 UNION ALL SELECT file_id, node_path || '/branches/' || i, node_path, (n -> 'branches') -> i::INT FROM {_each('b', 'n', '$.branches')}),
 h AS (SELECT file_id, node_path || '/product' AS node_path, node_path AS parent_path, 'product' AS node_kind, n -> 'product' AS n FROM b WHERE json_type(n -> 'product') = 'OBJECT'
 UNION ALL SELECT file_id, '/full_product_names/' || i, '', 'full_product_name', (j -> 'full_product_names') -> i::INT FROM {_each('t', 'j', '$.full_product_names')})"""
+_JSON = """json_valid({0}) AND try(json_type({0})) = '{1}' AND NOT regexp_matches(regexp_replace({0}, '"([^"\\\\]|\\\\.)*"', '""', 'g'), ',\\s*[}}\\]]|NaN|Infinity|[iI]nf|[nN]an')"""
+_LINES = f"""WITH l AS (SELECT line_id, regexp_replace(coalesce(raw_line, ''), '\\r\\z', '') AS x FROM process_csaf_lines),
+q AS (SELECT line_id, regexp_full_match(x, '(?s)("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') AS quoted, regexp_extract_all(',' || x, '(?s),("(?:[^"]|"")*"|[^",]*)', 1) AS f FROM l),
+c AS (SELECT line_id, quoted, list_transform(f, lambda v: CASE WHEN v LIKE '"%' THEN replace(substring(v, 2, length(v) - 2), '""', '"') ELSE v END) AS f FROM q),
+v AS (SELECT *, regexp_matches(f[3], '^0*[1-9][0-9]*$') AND regexp_matches(f[4], '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9]))?$') AND f[4] NOT LIKE '0000%' AND try_cast(f[4][1:10] AS DATE) IS NOT NULL
+AND (f[5] = '' OR (regexp_matches(f[5], '^[0-9]+(\\.[0-9]+)?$') AND try_cast(f[5] AS DOUBLE) <= 10)) AS fits FROM c)"""
 SQL: dict[str, str] = {
+    "p2_found": f"""{_LINES} SELECT line_id, reason AS fail_reason FROM (SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> 7 THEN 'columns' WHEN NOT coalesce({_JSON.format('f[6]', 'OBJECT')}, false) THEN 'document'
+WHEN NOT coalesce({_JSON.format('f[7]', 'ARRAY')}, false) THEN 'vulnerabilities' WHEN NOT coalesce(fits, false) THEN 'value' END AS reason FROM v) WHERE reason IS NOT NULL""",
     "p6_found": f"""{_NODES} SELECT file_id, node_path, parent_path, 'branch' AS node_kind FROM b UNION ALL SELECT file_id, node_path, parent_path, node_kind FROM h
 UNION ALL SELECT file_id, node_path || '/product_identification_helper/model_numbers/' || i, node_path, 'model_number' FROM {_each('h', 'n', '$.product_identification_helper.model_numbers')}""",
     "p6_products": f"{_NODES} SELECT file_id, node_path, parent_path, n ->> 'name' AS product_name, n ->> 'product_id' AS product_id FROM h",
