@@ -111,6 +111,17 @@ def test_levenshtein_finds_what_brute_force_finds(spark):
     assert {k for k, _ in got} == {0, 1, 3} and got[1, "Velrizon 500"] == 1.0
 
 
+def test_levenshtein_broadcasts_no_table_of_the_corpus(spark):
+    """Only filters of a fixed size go through the driver, however many pieces the corpus has; duplicate and null keys keep their best."""
+    corpus = spark.createDataFrame([(i, f"Name{i:05d}x") for i in range(3000)], "row_pos int, device_family string")
+    df = spark.createDataFrame([(1, "a Name00007x"), (1, "Name00003x"), (None, "Name00O09x"), (None, ""), (2, "Name02999x" * 2)], "k int, s string")
+    found = mining.match_levenshtein(df, "k", "s", corpus, MinerConfig(patterns={}, search_columns=("device_family",)))
+    assert sorted(map(tuple, found.collect()), key=repr) == [(1, "device_family", "Name00003x", 1.0), (2, "device_family", "Name02999x", 1.0), (None, "device_family", "Name00O09x", 0.9)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    log, bits = mining.Filter.of(spark.range(50_000).select(F.xxhash64("id").alias("h")), 10**12)
+    assert len(bits) == (1 << log) // 8 == 1 << 24
+
+
 def test_edit_tiers(spark):
     assert [spell.edits_between(a, b) for a, b in (("ab", "ba"), ("ca", "abc"), ("abc", "abc"), ("", "ab"), ("abc", "xyz"))] == [1, 2, 0, 2, 3]
     words = spark.createDataFrame([("plc",), ("pcl",), ("zzzzz",), (None,)], "word string")
