@@ -99,3 +99,31 @@ def test_long_names_are_compared_whole(spark):
 def test_very_long_words(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(5_000))
     assert pairs(spark, table(spark, [(text, None), (text + "x", None), (" ".join([text] * 3), None)]))[:1] == [(0, 1)]
+
+
+def test_members_of_buckets_are_shuffled_once(spark):
+    """Small buckets need no sizes and no further exchange; pairs are those of a nested loop, over batches and parts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(h, side, k) for h in range(40) for side in range(3) for k in range(h % 9 + 1)] + [(99, 0, k) for k in range(S.SMALL_BUCKET + 5)] * 2
+        rows += rows[:50]
+        got = sorted(set(map(tuple, S.met(spark.createDataFrame(rows, "h long, side int, p long").repartition(3), "p").collect())))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(set(combinations(range(S.SMALL_BUCKET + 5), 2)))
+    df = S.met(spark.createDataFrame(rows, "h long, side int, p long"), "p")
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    assert len([x for x in ran if "REPARTITION_BY_COL" in x and "ReusedExchange" not in x]) == 1
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    from pathlib import Path
+
+    from normforge.session import stored
+
+    root = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()).parent
+    count = lambda: {f for f in root.rglob("shuffle_*.data")}
+    before = count()
+    out = stored(spark.range(1000).repartition(5, "id"))
+    assert count() <= before and out.count() == 1000
